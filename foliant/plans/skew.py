@@ -20,19 +20,21 @@ def heavy_keys(counts: DataFrame, weight: str, share: float = HEAVY_SHARE) -> Da
     return counts.filter(F.col(weight) >= F.greatest(F.lit(1.0), total * F.lit(share)))
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str, salts: int = 64, spread: list[str] | None = None) -> DataFrame:
-    """``rows`` joined to the unique-keyed ``lookup``; heavy keys are spread over ``salts`` partitions.
+def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str | None = None, salts: int = 64, spread: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to the unique-keyed ``lookup``; heavy keys are spread over ``salts`` partitions.
 
-    The heavy keys of ``lookup`` (by its row count column ``weight``) are broadcast as a
-    flag, their rows on the left get a salt from ``spread`` (or all columns), and their
-    single row on the right is repeated once per salt. Keys must not be null.
+    Keys are heavy by ``lookup``'s row count column ``weight``, or by counting ``rows``
+    where there is none. The heavy keys are broadcast as a flag, their rows on the left
+    get a salt from ``spread`` (or all columns), and their single row on the right is
+    repeated once per salt. Null keys match nothing.
     """
-    flags = F.broadcast(heavy_keys(lookup, weight).select(*on, F.lit(True).alias("_heavy")))
+    counts = lookup.select(*on, F.col(weight).alias("_n")) if weight else rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    flags = F.broadcast(heavy_keys(counts, "_n").select(*on, F.lit(True).alias("_heavy")))
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(salts)).cast("int")
     left = rows.join(flags, on, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
     each = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(flags, on, "left").withColumn("_salt", F.explode(each)).drop("_heavy")
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def bounded_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], row_bytes: int, how: str = "inner", n: int | None = None) -> DataFrame:
