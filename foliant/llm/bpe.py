@@ -26,7 +26,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: code points handled in one piece by a worker; bounds its memory
 SLICE_CHARS = 2_000_000
 #: words a worker remembers before it starts afresh; bounds its memory, not the result
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
 
 
 class RankBitmap:

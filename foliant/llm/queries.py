@@ -4,31 +4,167 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, spans
-from foliant.sources.tables import table
+from foliant.llm import bpe, distinct, frequency, leak, lookalike, spans, together
+from foliant.plans.stage import stage
+from foliant.sources.tables import array_values, current_items, live_items, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_frequency(spark: SparkSession, at: str) -> DataFrame:
+    """Every posting term and every tag of live items: occurrences, records, and the mark of useless ones."""
+    postings = table(spark, at, "postings")
+    live = live_items(table(spark, at, "metadata"), "tags")
+    terms = postings.select(F.lit("terms").alias("field"), "term", F.col("idx").alias("record"), F.col("tf").alias("n"))
+    tags = live.select("id", F.explode(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("term"))
+    tags = tags.groupBy("id", "term").agg(F.count("*").alias("n")).select(F.lit("tags").alias("field"), "term", F.col("id").alias("record"), "n")
+    counts = frequency.term_frequencies(terms).unionByName(frequency.term_frequencies(tags, unique=True))
+    sizes = postings.agg(F.countDistinct("idx").alias("size")).select(F.lit("terms").alias("field"), "size").unionByName(live.agg(F.count("*").alias("size")).select(F.lit("tags").alias("field"), "size"))
+    return frequency.mark_useless(counts, sizes)
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    return p1_frequency(spark, at).filter(F.col("mark").isNotNull()).select("field", "term")
+
+
+def _occurrences(live: DataFrame) -> DataFrame:
+    """(field, term, record, tf): tags of live items, and words of their names and annotations."""
+    tags = live.select(F.lit("tags").alias("field"), F.explode(array_values("tags")).alias("term"), F.col("id").alias("record")).withColumn("tf", F.lit(1).cast("long"))
+    text = F.concat_ws("\n", "name", "annotation")
+    words = live.select("id", F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word"))
+    words = words.groupBy(F.lower("word").alias("term"), "id").agg(F.count("*").alias("tf"))
+    return tags.unionByName(words.select(F.lit("text").alias("field"), "term", F.col("id").alias("record"), "tf"))
+
+
+def _scored(spark: SparkSession, at: str) -> DataFrame:
+    live = live_items(table(spark, at, "metadata"), "name", "annotation", "tags")
+    rows = stage(_occurrences(live), "occurrences")
+    return distinct.residual_idf(rows, live.agg(F.count("*").alias("n")).scalar())
+
+
+def p2_scores(spark: SparkSession, at: str) -> DataFrame:
+    """Every tag and word of every live item with its residual inverse document frequency and score."""
+    return _scored(spark, at).select(F.col("record").alias("id"), "field", "term", "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("score", 6).alias("score"))
+
+
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    """The best-scored tag of an item that stands out tenfold, and words that pile up in few items."""
+    scored = _scored(spark, at)
+    best = Window.partitionBy("record").orderBy(F.desc("score"), "df")
+    tags = scored.filter(F.col("field") == "tags").withColumn("rank", F.row_number().over(best)).withColumn("next", F.lead("df").over(best)).withColumn("last", F.lead("df", 2).over(best))
+    tags = tags.filter((F.col("rank") == 1) & F.col("last").isNotNull() & (F.col("df") >= 2) & (F.col("next") >= 10 * F.col("df")))
+    words = scored.filter((F.col("field") == "text") & (F.col("tf") >= 3) & F.col("df").between(2, 12))
+    return tags.select(F.col("record").alias("id"), "field", "term").unionByName(words.select(F.col("record").alias("id"), "field", "term"))
+
+
+def _together(spark: SparkSession, at: str, least: int) -> DataFrame:
+    live = stage(live_items(table(spark, at, "metadata"), "tags", "folders"), "live")
+    held = [live.select(F.lit(c).alias("field"), F.col("id").alias("record"), F.explode(array_values(c)).alias("value")) for c in ("tags", "folders")]
+    return together.pairs_together(held[0].unionByName(held[1]), live.agg(F.count("*").alias("n")).scalar(), least)
+
+
+def p5_pairs(spark: SparkSession, at: str) -> DataFrame:
+    """Every pair of tags or folders that some live item holds, with lift and odds ratio."""
+    return _together(spark, at, 1).select("field", "a", "b", "n", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
+
+
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    often = _together(spark, at, 5).filter(wide("n") * wide("n_all") >= wide("n_a") * wide("n_b") * 4)
+    return often.select("field", "a", "b")
+
+
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    items = stage(current_items(table(spark, at, "metadata"), "name", "annotation", "tags"), "items")
+    texts = [items.select(F.lit(c).alias("field"), "id", F.col(c).alias("text")) for c in ("name", "annotation")]
+    pairs = lookalike.same_look_pairs(texts[0].unionByName(texts[1]))
+    tags = items.select("id", F.explode(array_values("tags")).alias("text"))
+    known = table(spark, at, "tag_groups").select(F.col("tag").alias("value"))
+    near = lookalike.same_look_values(tags, known).select(F.lit("tags").alias("field"), F.col("id").alias("a"), F.col("value").alias("b"))
+    return pairs.unionByName(near)
+
+
+def p6_forms(spark: SparkSession, at: str) -> DataFrame:
+    """Name, annotation and tags of every current item in the consistent writing."""
+    items = current_items(table(spark, at, "metadata"), "name", "annotation", "tags")
+    forms = items.select("id", lookalike.visual_form("name").alias("name"), lookalike.visual_form("annotation").alias("annotation"))
+    tags = items.select("id", F.explode(array_values("tags")).alias("tag")).withColumn("form", lookalike.visual_form("tag"))
+    tags = tags.filter(F.col("form") != "").groupBy("id").agg(F.array_sort(F.collect_set("form")).alias("tags"))
+    return forms.join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
 def p7_ids(spark: SparkSession, at: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, at, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, at: str) -> DataFrame:
+    """Every document that holds twenty or more consecutive letters and digits of an eval item, with how many of the item's it holds."""
+    return leak.find_leaks(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return leak.leaked(p8_leaks(spark, at)).select("doc_id", "item_id").distinct()
+
+
 def p9_found(spark: SparkSession, at: str) -> DataFrame:
     return spans.span_pairs(spans.shared_spans(table(spark, at, "documents"), "doc_id", "text"))
 
 
 def p9_shared(spark: SparkSession, at: str) -> DataFrame:
+    """Of every document, how much lies in spans of 320 characters or more that another document holds."""
     documents = table(spark, at, "documents")
     return spans.shared_amount(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_shared": p9_shared}
+    found = [p1_found, p1_frequency, p2_found, p2_scores, p5_found, p5_pairs, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p9_found, p9_shared]
+    return {f.__name__: f for f in found}
+
+
+_LIVE = """
+current_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY modificationTime DESC) AS rn FROM metadata WHERE id IS NOT NULL) WHERE rn = 1),
+live AS (SELECT * FROM current_rows WHERE NOT coalesce(isDeleted, false)),
+tag_rows AS (SELECT id, tag FROM (SELECT id, unnest(tags) AS tag FROM live) WHERE tag <> ''),
+tags AS (SELECT DISTINCT id, tag FROM tag_rows)"""
+
+_FREQUENCY = f"""
+WITH {_LIVE},
+one AS (SELECT term, idx, max(coalesce(tf, 1)) AS n FROM postings WHERE term <> '' AND idx IS NOT NULL GROUP BY ALL),
+counted AS (
+  SELECT 'terms' AS field, term, sum(n)::BIGINT AS n_occurrences, count(*) AS n_records, (SELECT count(DISTINCT idx) FROM postings) AS size FROM one GROUP BY term
+  UNION ALL
+  SELECT 'tags', tag, count(*), count(DISTINCT id), (SELECT count(*) FROM live) FROM tag_rows GROUP BY tag),
+marked AS (SELECT field, term, n_occurrences, n_records, CASE WHEN n_records * 5 > size THEN 'common' WHEN n_records < 2 THEN 'rare' END AS mark FROM counted)"""
+
+_SCORES = f"""
+WITH {_LIVE},
+words AS (SELECT id, lower(unnest(regexp_extract_all(concat_ws(chr(10), name, annotation), '[A-Za-z]{{4,}}'))) AS word FROM live),
+held AS (SELECT 'tags' AS field, tag AS term, id, 1::BIGINT AS tf FROM tags UNION ALL SELECT 'text', word, id, count(*) FROM words GROUP BY word, id),
+stats AS (SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM held GROUP BY field, term),
+scored AS (SELECT id, field, term, tf, df, cf, log2((1 - exp(-cf::DOUBLE / (SELECT count(*) FROM live))) / (df::DOUBLE / (SELECT count(*) FROM live))) AS ridf FROM held JOIN stats USING (field, term))"""
+
+_PAIRS = f"""
+WITH {_LIVE},
+held AS (SELECT 'tags' AS field, id, tag AS v FROM tags UNION ALL SELECT DISTINCT 'folders', id, f FROM (SELECT id, unnest(folders) AS f FROM live) WHERE f <> ''),
+single AS (SELECT field, v, count(*) AS n FROM held GROUP BY field, v),
+pairs AS (SELECT x.field, x.v AS a, y.v AS b, count(*) AS n FROM held x JOIN held y ON x.field = y.field AND x.id = y.id AND x.v < y.v GROUP BY ALL),
+full_pairs AS (SELECT p.field, p.a, p.b, p.n, sa.n AS n_a, sb.n AS n_b, (SELECT count(*) FROM live) AS n_all
+  FROM pairs p JOIN single sa ON sa.field = p.field AND sa.v = p.a JOIN single sb ON sb.field = p.field AND sb.v = p.b)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_frequency": f"{_FREQUENCY} SELECT field, term, n_occurrences, n_records, mark FROM marked",
+        "p1_found": f"{_FREQUENCY} SELECT field, term FROM marked WHERE mark IS NOT NULL",
+        "p2_scores": f"{_SCORES} SELECT id, field, term, tf, df, cf, round(ridf, 6) AS ridf, round(tf * ridf, 6) AS score FROM scored",
+        "p2_found": f"""{_SCORES},
+others AS (SELECT x.id, x.term, x.df, count(*) AS n, min(y.df) AS least FROM scored x JOIN scored y ON x.field = 'tags' AND y.field = 'tags' AND x.id = y.id AND x.term <> y.term GROUP BY ALL)
+SELECT id, 'tags' AS field, term FROM others WHERE n >= 2 AND df >= 2 AND least >= 10 * df
+UNION ALL SELECT id, field, term FROM scored WHERE field = 'text' AND tf >= 3 AND df BETWEEN 2 AND 12""",
+        "p5_pairs": f"""{_PAIRS} SELECT field, a, b, n, n_a, n_b, round(n::DOUBLE * n_all / n_a / n_b, 6) AS lift,
+  round(ln(((n + 0.5::DOUBLE) * (n_all - n_a - n_b + n + 0.5::DOUBLE)) / ((n_a - n + 0.5::DOUBLE) * (n_b - n + 0.5::DOUBLE))), 6) AS log_odds FROM full_pairs""",
+        "p5_found": f"{_PAIRS} SELECT field, a, b FROM full_pairs WHERE n >= 5 AND n * n_all >= 4 * n_a * n_b",
+    }
