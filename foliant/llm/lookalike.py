@@ -83,14 +83,7 @@ def tables() -> dict[str, np.ndarray]:
         out = [y for x in unicodedata.normalize("NFD", wide) for y in last(ord(x))]
         if out != [cp]:
             special[cp] = out
-    # a mark composes with the letter that its base is written as
-    for a, b, cp in list(pairs):
-        other = single.get(a, a)
-        if other != a:
-            pairs.append((other, b, cp))
-    known: dict[tuple[int, int], int] = {}
-    for a, b, cp in sorted(pairs, key=lambda p: (p[0], p[1], single.get(int(unicodedata.decomposition(chr(p[2])).split()[0], 16)) is not None, p[2])):
-        known.setdefault((a, b), cp)
+    known = {(a, b): cp for a, b, cp in pairs}
     keys = np.array([a << 21 | b for a, b in known], np.int64)
     order = np.argsort(keys)
     begin, count = np.zeros(MAX_CP, np.int32), np.ones(MAX_CP, np.int8)
