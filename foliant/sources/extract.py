@@ -358,7 +358,7 @@ def extract_files(items: DataFrame, files: DataFrame, max_chars: int, max_size:
     Files over ``max_size`` aren't read: they keep their metadata and get a warning.
     """
     small = items.filter(F.col("size") <= max_size).join(files.select("path", F.col("content").alias("_bytes")), "path", "left")
-    read = small.withColumn("_e", extract_column(F.col("_bytes"), F.col("ext"), max_chars)).drop("_bytes")
+    read = small.withColumn("_e", extract_column(F.coalesce("_bytes", F.when(F.col("size") == 0, F.lit(b""))), F.col("ext"), max_chars)).drop("_bytes")
     read = read.select(*items.columns, F.col("_e.text").alias("content"), F.col("_e.method").alias("method"), F.col("_e.warning").alias("warn"))
     from foliant.functions.text import format_bytes
 

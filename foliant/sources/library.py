@@ -36,13 +36,16 @@ def scan_library(spark: SparkSession, library: str, settings: Settings | None =
     first = payload.groupBy("item").agg(F.min(F.struct("file", "path", "bytes", "changed")).alias("p"))
     own = F.lower(F.regexp_extract("p.file", r"\.([^.]+)$", 1))
     none = F.array().cast("array<string>")
-    return meta.join(first, "item").select(
+    # Spark's file listing leaves out empty files: metadata of size 0 without a visible payload stands for one
+    met = meta.join(first, "item", "left").filter(F.col("p").isNotNull() | (F.col("size") == 0))
+    blank = F.concat("name", F.lit("."), F.coalesce("ext", F.lit("")))
+    return met.select(
         F.url_decode(F.replace("item", F.lit("+"), F.lit("%2B"))).alias("id"),
         F.coalesce("name", F.lit("")).alias("name"),
-        F.col("p.file").alias("fileName"),
-        F.when(own != "", own).otherwise(F.lower(F.coalesce("ext", F.lit("")))).alias("ext"),
-        F.concat(F.lit("images/"), "item", F.lit(".info/"), "p.file").alias("rel"),
-        F.col("p.path").alias("path"),
+        F.coalesce("p.file", blank).alias("fileName"),
+        F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.lower(F.coalesce("ext", F.lit("")))).alias("ext"),
+        F.concat(F.lit("images/"), "item", F.lit(".info/"), F.coalesce("p.file", blank)).alias("rel"),
+        F.coalesce("p.path", F.lit("")).alias("path"),
         F.coalesce("tags", none).alias("tags"),
         F.coalesce("folders", none).alias("folders"),
         F.coalesce("star", F.lit(0)).cast("long").alias("star"),
