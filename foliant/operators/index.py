@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.config import INDEX_VERSION, MASK, Settings
-from foliant.functions.tokenizer import term_array
+from foliant.functions.termcount import term_counts
 from foliant.operators.facets import totals
 from foliant.operators.search import Index
 from foliant.plans.commit import read_pointer, write_pointer
@@ -55,11 +55,9 @@ def text_of(field: str):
 def build_postings(items: DataFrame, key: str = "idx", normalise: bool = True) -> DataFrame:
     """(term, key, mask, tf): fields that hold the term and its occurrences in all of them.
 
-    One pass over the items and one shuffle, with terms counted per task before it.
+    ``key`` must be unique. One pass over the items without a shuffle.
     """
-    fields = [F.struct(F.lit(bit).alias("mask"), term_array(text_of(name), normalise).alias("terms")) for name, bit in MASK.items()]
-    rows = items.select(key, F.explode(F.array(*fields)).alias("f")).select(key, "f.mask", F.explode("f.terms").alias("term"))
-    return rows.groupBy("term", key).agg(F.bit_or("mask").alias("mask"), F.count("*").cast("long").alias("tf")).select("term", key, "mask", "tf")
+    return term_counts(items, key, {name: (bit, text_of(name)) for name, bit in MASK.items()}, normalise).select("term", key, "mask", "tf")
 
 
 def field_lengths() -> F.Column:

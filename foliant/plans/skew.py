@@ -41,3 +41,12 @@ def bounded_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], row_bytes:
     """Join that broadcasts ``lookup`` only if its counted size is within bounds, and shuffles otherwise."""
     n = lookup.count() if n is None else n
     return rows.join(F.broadcast(lookup) if n * row_bytes <= BROADCAST_BYTES else lookup, on, how)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the input has fewer partitions than there are cores; else as they are read.
+
+    For work that costs far more than moving its input, on tables of few files.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from foliant.config import EXT_GROUPS, MASK, WEIGHTS
 from foliant.functions import text as fn
+from foliant.functions.termcount import term_counts
 from foliant.functions.tokenizer import CJK_RANGES, JOINERS, STOP_WORDS, WORD_RANGES, term_array
 from foliant.operators import facets
 from foliant.operators.index import build_postings, diff, name_folders
 from foliant.operators.query import Filters, parse_query
 from foliant.operators.search import Index, field_labels, idf, search
 from foliant.operators.snippet import ranges_of, snippet_of
+from foliant.plans.skew import spread
 from foliant.sources.tables import current_items, live_items, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,30 +57,31 @@ def content_rows(spark: SparkSession, at: str) -> DataFrame:
 
 
 def tokenize_documents_tf(spark, at):
-    rows = table(spark, at, "documents").select("doc_id", F.explode(term_array("text")).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    rows = spread(table(spark, at, "documents").select("doc_id", "text"))
+    return term_counts(rows, "doc_id", {"text": (1, F.col("text"))}).select("doc_id", "term", "tf")
 
 
 def tokenize_documents_lower_tf(spark, at):
-    rows = table(spark, at, "documents").select("doc_id", F.explode(term_array("text", normalise=False)).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    rows = spread(table(spark, at, "documents").select("doc_id", "text"))
+    return term_counts(rows, "doc_id", {"text": (1, F.col("text"))}, normalise=False).select("doc_id", "term", "tf")
 
 
 SAMPLES = ["scrna-seq il-1β 3.5 a/b", "a--b -c- d. x", "深度学习方法 的 我", "鼠", "ab中c文de", "it's o'clock 7 z", "１２ ｆｕｌｌ", "", "한국어 かな カナ", "c++ +x x+y/z_1"]
 
 
 def tokenize_values(spark, at):
+    """The column expression, on values that show each rule."""
     rows = spark.createDataFrame(list(enumerate(SAMPLES)), "k int, s string")
     return rows.select("k", F.explode(term_array("s", normalise=False)).alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
 
 
 def postings_multifield(spark, at):
     rows = items(spark, at, live=True).withColumn("content", F.lit(""))
-    return build_postings(rows, "id", normalise=False)
+    return build_postings(spread(rows), "id", normalise=False)
 
 
 def postings_full_text(spark, at):
-    return build_postings(content_rows(spark, at), "id")
+    return build_postings(spread(content_rows(spark, at)), "id")
 
 
 def doc_frequency(spark, at):

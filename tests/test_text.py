@@ -42,6 +42,33 @@ def test_column_equals_twin(spark):
     run()
 
 
+def test_bulk_counts_equal_twin(monkeypatch):
+    import pyarrow as pa
+
+    from foliant.functions import termcount
+
+    monkeypatch.setattr(termcount, "SLICE_BYTES", 40)
+    monkeypatch.setattr(termcount, "SLICE_ROWS", 7)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet=ALPHABET, max_size=25)), st.text(alphabet=ALPHABET, max_size=12)), max_size=20))
+    def run(rows):
+        want = {}
+        for k, row in enumerate(rows):
+            for bit, text in zip((1, 16), row):
+                for term, tf in tokenize(text).items():
+                    mask, n = want.get((k, term), (0, 0))
+                    want[k, term] = (mask | bit, n + tf)
+        got, count = {}, 0
+        columns = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+        for row, base, term, mask, tf in termcount.count_terms(columns, [1, 16]):
+            count += len(row)
+            got |= {(int(r) + base, t): (int(m), int(f)) for r, t, m, f in zip(row, term.to_pylist(), mask, tf)}
+        assert got == want and count == len(got)
+
+    run()
+
+
 def test_very_long_runs(spark):
     texts = ["a-" * 30_000 + "a", "字" * 20_000, "x" * 100_000, None]
     assert [Counter(g) for g in one(spark, term_array("x"), *texts)] == [tokenize(t) for t in texts]
