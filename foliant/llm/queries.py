@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, distinct, frequency, leak, lookalike, spans, together
+from foliant.plans.skew import spread
 from foliant.plans.stage import stage
 from foliant.sources.tables import array_values, current_items, live_items, table
 
@@ -96,13 +97,17 @@ def p6_forms(spark: SparkSession, at: str) -> DataFrame:
     return forms.join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
+def _texts(spark: SparkSession, at: str) -> DataFrame:
+    return spread(table(spark, at, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, at: str) -> DataFrame:
-    return bpe.encode_corpus(table(spark, at, "documents"), "doc_id", "text")
+    return bpe.encode_corpus(_texts(spark, at), "doc_id", "text")
 
 
 def p8_leaks(spark: SparkSession, at: str) -> DataFrame:
     """Every document that holds twenty or more consecutive letters and digits of an eval item, with how many of the item's it holds."""
-    return leak.find_leaks(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text")
+    return leak.find_leaks(_texts(spark, at), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
@@ -110,12 +115,12 @@ def p8_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, at: str) -> DataFrame:
-    return spans.span_pairs(spans.shared_spans(table(spark, at, "documents"), "doc_id", "text"))
+    return spans.span_pairs(spans.shared_spans(_texts(spark, at), "doc_id", "text"))
 
 
 def p9_shared(spark: SparkSession, at: str) -> DataFrame:
     """Of every document, how much lies in spans of 320 characters or more that another document holds."""
-    documents = table(spark, at, "documents")
+    documents = _texts(spark, at)
     return spans.shared_amount(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text"))
 
 
