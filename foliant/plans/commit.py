@@ -42,3 +42,9 @@ def write_pointer(spark: SparkSession, path: str, value: dict) -> None:
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(draft, target, options)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it exists."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -46,7 +46,8 @@ def bounded_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], row_bytes:
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores where the input has fewer partitions than there are cores; else as they are read.
 
-    For work that costs far more than moving its input, on tables of few files.
+    For work that costs far more than moving its input, on tables of few files. ``rows``
+    must be a plain scan: asking a plan with shuffles for its partitions would run it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)

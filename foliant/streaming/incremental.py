@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.plans.commit import read_pointer, write_pointer
+from foliant.plans.commit import read_pointer, remove, write_pointer
 
 
 class Manifest:
@@ -53,10 +53,16 @@ class Manifest:
         both.select("id", change.alias("change")).filter(F.col("change").isNotNull()).write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
 
     def commit(self, batch: str) -> None:
-        """Make the prepared batch the last successful one. Committing it again changes nothing."""
+        """Make the prepared batch the last successful one. Committing it again changes nothing.
+
+        Afterwards only the files of this batch and of the one before it are kept; the
+        changes of all batches stay.
+        """
         done = self.committed()
         if batch not in done:
             write_pointer(self.spark, f"{self.folder}/CURRENT.json", {"batches": [*done, batch]})
+            for old in done[-2:-1]:
+                remove(self.spark, f"{self.folder}/manifest/{old}")
 
     def run(self, listing: DataFrame, batch: str) -> DataFrame:
         """Prepare and commit; a batch that is committed already is left alone."""
