@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.textbuf import MAX_CP, byte_view, code_points, row_slices, rows_to_strings
+from foliant.plans.stage import stage
 
 SLICE_BYTES = 4_000_000
 
@@ -30,7 +31,7 @@ HYPHENS = "2010 2011 FE63 FF0D"
 SAME_SHAPE = """
 АA ВB СC ЕE ԌG НH ІI ЈJ КK МM ОO РP ԚQ ЅS ТT ԜW ХX ҮY
 аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs ѵv ԝw хx уy
-ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC Ϳ J οo νv ϲc ϳj
+ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ϲc ϳj
 ՕO օo սu հh ոn ցg զq
 µμ
 """
@@ -40,8 +41,7 @@ SAME_SHAPE = """
 def tables() -> dict[str, np.ndarray]:
     """Expansion table (begin, count, flat), combining classes, and compositions as sorted pairs."""
     single: dict[int, int] = {}
-    flat_text = SAME_SHAPE.replace("Ϳ J", "ͿJ").split()
-    for pair in flat_text:
+    for pair in SAME_SHAPE.split():
         single[ord(pair[0])] = ord(pair[1])
     for h in HYPHENS.split():
         single[int(h, 16)] = 0x2D
@@ -205,8 +205,8 @@ def same_look_pairs(texts: DataFrame) -> DataFrame:
     the ids that hold them, so equal texts are never paired, however many rows hold one.
     Rows with a null id or text are left out, repeated rows count once.
     """
-    rows = texts.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("field", "id", "text").distinct()
-    looks = rows.select("text").distinct().withColumn("look", visual_form("text"))
+    rows = stage(texts.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("field", "id", "text").distinct(), "texts")
+    looks = stage(rows.select("text").distinct().withColumn("look", visual_form("text")), "looks")
     several = looks.groupBy("look").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).filter(F.col("lo") != F.col("hi")).select("look")
     looks = looks.join(several, "look", "left_semi")
     x, y = looks.select("look", F.col("text").alias("x")), looks.select("look", F.col("text").alias("y"))
