@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from foliant.config import INDEX_VERSION, MASK, Settings
 from foliant.functions.termcount import term_counts
+from foliant.functions.text import folded
 from foliant.operators.facets import totals
 from foliant.operators.search import Index
 from foliant.plans.commit import read_pointer, write_pointer
 
 #: Columns of an item as the index takes it in; missing ones get the default.
 ITEM = {"id": None, "name": "", "fileName": "", "ext": "", "rel": "", "tags": [], "folders": [], "folder_names": [], "star": 0, "url": "", "annotation": "", "mtime": 0, "addedAt": 0, "size": 0, "content": "", "method": "skip", "warn": ""}
-DOC = ["idx", "id", "name", "fileName", "ext", "rel", "tags", "folders", "folder_names", "star", "url", "annotation", "mtime", "addedAt", "size", "method", "warn", "cLen", "len"]
+DOC = ["idx", "id", "name", "fileName", "ext", "rel", "tags", "folders", "folder_names", "star", "url", "annotation", "mtime", "addedAt", "size", "method", "warn", "cLen", "len", "folded_name"]
 FIELDS = {"name": "name", "annotation": "annotation", "tags": "tags", "folders": "folder_names", "content": "content", "url": "url"}
 _TYPES = {str: "string", int: "long", list: "array<string>"}
 
@@ -160,7 +161,7 @@ class IndexStore:
         numbered = ids.filter(F.col("idx").isNotNull()).unionByName(fresh)
         todo = items.join(numbered, "id")
         limit = self.settings.max_chars
-        todo = todo.withColumn("content", F.substring("content", 1, limit)).withColumn("cLen", F.length("content").cast("long")).withColumn("len", field_lengths())
+        todo = todo.withColumn("content", F.substring("content", 1, limit)).withColumn("cLen", F.length("content").cast("long")).withColumn("len", field_lengths()).withColumn("folded_name", folded("name"))
         todo.write.parquet(f"{path}/changed")
         todo = self.spark.read.parquet(f"{path}/changed")
         docs, postings, texts = todo.select(*DOC), build_postings(todo), todo.select("idx", "content")

@@ -168,12 +168,12 @@ def search(index: Index, query: str | None, extra: Filters | None = None, sort:
     cands = picked.join(allowed, "idx").withColumn("base", F.col("score"))
     flat = fold(parsed.raw).strip()
     if sort == "relevance" and flat:
-        cands = cands.withColumn("score", F.when(F.contains(folded("name"), F.lit(flat)), F.col("base") * TITLE_BOOST).otherwise(F.col("base")))
+        cands = cands.withColumn("score", F.when(F.contains(_folded_name(docs), F.lit(flat)), F.col("base") * TITLE_BOOST).otherwise(F.col("base")))
     best = _ranked(cands, sort, max(2 * limit, 120))
     verify = bool(parsed.literals or parsed.neg_literals)
     if verify:
         best = best.join(index.texts.select("idx", "content"), "idx", "left")
-        best = best.withColumns({"_body": folded_units("content"), "_note": folded("annotation"), "_name": folded("name")})
+        best = best.withColumns({"_body": folded_units("content"), "_note": folded("annotation"), "_name": _folded_name(docs)})
         for literal in map(fold, parsed.literals):
             best = best.filter(F.contains("_body", F.lit(literal)) | F.contains("_note", F.lit(literal)) | F.contains("_name", F.lit(literal)))
         for literal in map(fold, parsed.neg_literals):
@@ -192,6 +192,11 @@ def search(index: Index, query: str | None, extra: Filters | None = None, sort:
     return Result(_decorate(shown, index, parsed, True) if snippets else shown, summary, parsed, filters)
 
 
+def _folded_name(docs: DataFrame) -> Column:
+    """The folded name as stored with the index, computed here only for docs that lack it."""
+    return F.col("folded_name") if "folded_name" in docs.columns else folded("name")
+
+
 def explain_empty(found: int, verified: bool, candidates: int, filters: Filters) -> str:
     """Why a query has no hits: ``phrase`` if candidates lack the exact wording, ``filter`` if types are restricted, else empty; empty too if there are hits."""
     if found:

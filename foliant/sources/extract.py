@@ -31,7 +31,7 @@ ttf otf woff woff2 psd ai sketch fig blend obj fbx stl 3ds zip rar 7z tar gz bz2
 )
 LEGACY = {"doc", "xls", "ppt", "wps", "et", "dps"}
 # warnings
-NO_PDF = "pdf.js 未加载，跳过 PDF 正文"
+NO_PDF = "没有 PDF 解析器，跳过 PDF 正文"
 LEGACY_SOME, LEGACY_NONE = "旧版二进制格式，正文为近似提取", "旧版二进制格式，未能提取正文"
 UNREADABLE = "文件无法读取"
 
