@@ -53,11 +53,14 @@ def term_array(column: Column | str, normalise: bool = True) -> Column:
     text = folded(column) if normalise else F.lower(F.coalesce(column, F.lit("")))
     runs = F.regexp_extract_all(F.regexp_replace(text, LOOSE_JOINER, " "), F.lit(RUN), F.lit(0))
 
+    def grams(chars: Column) -> Column:
+        n = F.size(chars) - 1
+        return F.concat(chars, F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
+
     def of_run(run: Column) -> Column:
-        chars = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
-        n = F.size(chars)
-        twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.rlike(run, F.lit(rf"^[{CJK}]")), F.concat(chars, twos)).otherwise(F.array(run))
+        # the characters become a lambda's variable, so that they are found once and not for each pair
+        chars = F.array(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)))
+        return F.when(F.rlike(run, F.lit(rf"^[{CJK}]")), F.element_at(F.transform(chars, grams), 1)).otherwise(F.array(run))
 
     kept = lambda t: ~t.isin(*STOP_WORDS) & ((F.length(t) > 1) | F.rlike(t, F.lit(rf"[0-9{CJK}]")))
     return F.filter(F.flatten(F.transform(runs, of_run)), kept)
