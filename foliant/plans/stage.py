@@ -8,12 +8,14 @@ used twice is computed once.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_own: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="foliant-")
+        _own[app] = folder
     return folder
 
 
@@ -50,4 +53,5 @@ def _clean() -> None:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session may be gone
-            return
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
