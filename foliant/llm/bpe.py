@@ -12,6 +12,7 @@ square of the longest pre-token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 import json
 import os
@@ -24,7 +25,7 @@ from foliant.functions.textbuf import byte_view, char_classes, code_points, row_
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: code points handled in one piece by a worker; bounds its memory
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: words a worker remembers before it starts afresh; bounds its memory, not the result
 CACHE_WORDS = 1_000_000
 
@@ -245,8 +246,8 @@ class CorpusEncoder:
         self.count[lo:hi] = counts
         self.used += len(ids)
 
-    def encode(self, column: pa.Array) -> list[pa.Array]:
-        """The id lists of a column's texts, as arrays of consecutive rows."""
+    def encode(self, column: pa.Array) -> Iterator[pa.Array]:
+        """The id lists of a column's texts, in arrays of consecutive rows, one at a time."""
         if len(self.known) > CACHE_WORDS:
             self.reset()
         raw, offsets = byte_view(column)
@@ -272,7 +273,6 @@ class CorpusEncoder:
             pieces.append((words, np.searchsorted(starts, rows)))
         if pending:
             self.learn(pending)
-        out = []
         for words, bounds in pieces:
             counts = self.count[words]
             ends = np.zeros(len(words) + 1, np.int64)
@@ -280,8 +280,7 @@ class CorpusEncoder:
             source = np.repeat(self.begin[words] - ends[:-1], counts)
             source += np.arange(ends[-1])
             rows = ends[bounds]
-            out.append(pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(self.flat[source])))
-        return out
+            yield pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(self.flat[source]))
 
 
 @lru_cache(maxsize=2)
