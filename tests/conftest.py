@@ -20,6 +20,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from foliant.plans.ship import ship
+
+    ship(s)
     yield s
 
 
