@@ -48,3 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds, if it exists."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies directly in a folder; none if it doesn't exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []

@@ -2,12 +2,15 @@
 
 ``stage`` writes a DataFrame as Parquet and reads it back: the lineage ends there,
 so a lost executor costs a re-read and never a recomputation, and a plan that is
-used twice is computed once.
+used twice is computed once. Staged tables are deleted when the program ends, or when the
+``scratch`` block ends in which they were made.
 """
 
 from __future__ import annotations
 
 import atexit
+from collections.abc import Iterator
+from contextlib import contextmanager
 import shutil
 import tempfile
 import uuid
@@ -31,9 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the program ends."""
-    if not _made:
-        atexit.register(_clean)
+    """A fresh path under the shared folder, removed when the program or the ``scratch`` block around it ends."""
     path = f"{shared_dir(spark).rstrip('/')}/foliant-{uuid.uuid4().hex}/{name}"
     _made.append((spark, path.rpartition("/")[0]))
     return path
@@ -47,11 +48,29 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _made:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end of the block what was staged in it; frames over those tables can't be used afterwards."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        _delete(before)
+
+
+def _delete(since: int) -> None:
+    made, _made[since:] = _made[since:], []
+    for spark, path in made:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session may be gone
             if path.startswith("file://"):
                 shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def _clean() -> None:
+    _delete(0)
+
+
+atexit.register(_clean)

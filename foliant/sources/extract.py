@@ -1,19 +1,20 @@
 """Body text of files: bytes in, (text, method, warning) out.
 
 Binary formats are read by Python functions over Arrow batches of ``binaryFile`` rows, each
-format by its own reader; an exception in one file becomes that row's warning.
+format by its own reader; an exception in one file becomes that row's warning. Formats
+without text, thumbnails and metadata aren't opened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 import io
 import re
 from typing import NamedTuple
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import BLOCKS, ENTITIES, _numeric
@@ -36,6 +37,10 @@ LEGACY_SOME, LEGACY_NONE = "旧版二进制格式，正文为近似提取", "旧
 UNREADABLE = "文件无法读取"
 
 
+#: bytes of a file to its pages, by extension
+Readers = dict[str, Callable[[bytes], Iterable]]
+
+
 class Extracted(NamedTuple):
     text: str
     method: str
@@ -140,6 +145,9 @@ class Archive:
         return [n for n in self.names if rx.fullmatch(n)]
 
 
+# Fixed values below: the parts of each format and the elements that stand for breaks and tabs
+
+
 def docx_text(z: Archive) -> str:
     """Body, then headers, footers, notes and comments in archive order, then the document properties."""
     parts = [n for n in ["word/document.xml"] if n in z.names] + z.named(r"word/(?:(?:header|footer)\d*|footnotes|endnotes|comments)\.xml")
@@ -269,6 +277,7 @@ def rtf_text(source: str) -> str:
 
 # ---------------------------------------------------------------- old binary formats
 
+# Characters that count as readable in old binary files, and the shortest runs
 _WIDE_RUN = re.compile("[\t\n\r\x20-\x7e\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]{4,}")
 _GBK_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\x81-\xfe][\x40-\xfe])+")
 _GOOD = re.compile("[\u4e00-\u9fff0-9A-Za-z ]")
@@ -303,16 +312,44 @@ _ZIPPED: dict[str, tuple[str, Callable]] = {
 }
 
 
-def extract(data: bytes | None, ext: str | None, max_chars: int = 200_000) -> Extracted:
+def join_pages(pages: Iterable, max_chars: int) -> str:
+    """Pages of positioned text as one text.
+
+    A page is an iterable of (text, y, ends line): a line break stands where y moves by
+    more than 4 and after a piece that ends its line; a y of None moves nothing. Pages are
+    joined by line breaks, until ``max_chars`` are read.
+    """
+    out, total = [], 0
+    for page in pages:
+        parts, before = [], None
+        for text, y, ends in page:
+            if before is not None and y is not None and abs(y - before) > 4:
+                parts.append("\n")
+            parts.append(text + "\n" if ends else text)
+            before = y
+        out.append("".join(parts))
+        total += len(out[-1])
+        if total >= max_chars:
+            break
+    return "\n".join(out)
+
+
+def extract(data: bytes | None, ext: str | None, max_chars: int = 200_000, readers: Readers | None = None) -> Extracted:
     """The body text of one file, cut to ``max_chars`` code points.
 
     Files that can't be read as their format get the method ``error`` and a warning.
-    There is no PDF reader: PDFs have no text, and a warning says so. Flat ODF is read as
-    the XML that it is.
+    ``readers`` gives formats that aren't built in a function from bytes to pages as
+    ``join_pages`` takes them; without one for ``pdf``, PDFs have no text, and a warning
+    says so. Flat ODF is read as the XML that it is.
     """
     ext = (ext or "").lower()
     if data is None:
         return Extracted("", "skip", UNREADABLE)
+    if readers and ext in readers:
+        try:
+            return Extracted(tidy(join_pages(readers[ext](data), max_chars))[:max_chars], ext, "")
+        except Exception as e:
+            return Extracted("", ext, f"{ext.upper()} 解析失败：{e}")
     if ext in SKIPPED:
         return Extracted("", "skip", "")
     warning = ""
@@ -342,26 +379,48 @@ def extract(data: bytes | None, ext: str | None, max_chars: int = 200_000) -> Ex
         return Extracted("", "error", f"{ext or '未知格式'} 提取失败：{e}")
 
 
-def extract_column(content, ext, max_chars: int):
+def extract_column(content, ext, max_chars: int, readers: Readers | None = None):
     """``extract`` as a struct column (text, method, warning)."""
 
     def run(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(None if d is None else bytes(d), e, max_chars) for d, e in zip(data, kind)], columns=Extracted._fields)
+        return pd.DataFrame([extract(None if d is None else bytes(d), e, max_chars, readers) for d, e in zip(data, kind)], columns=Extracted._fields)
 
     run.__annotations__ = {"data": pd.Series, "kind": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, "text string, method string, warning string")(content, ext)
 
 
-def extract_files(items: DataFrame, files: DataFrame, max_chars: int, max_size: int) -> DataFrame:
+def suffix(path: Column | str) -> Column:
+    """A path's own extension in lower case, empty if it has none."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def readable(path: Column | str, readers: Readers | None = None) -> Column:
+    """Whether a file's extension says that it may hold text; files without one may."""
+    return ~suffix(path).isin(*sorted((SKIPPED | {"pdf"}) - set(readers or ())))
+
+
+def extract_files(items: DataFrame, files: DataFrame | None, max_chars: int, max_size: int, readers: Readers | None = None) -> DataFrame:
     """``items`` (path, ext, size) with content, method and warn from ``files`` (path, content).
 
-    Files over ``max_size`` aren't read: they keep their metadata and get a warning.
+    Bytes become text where they are read, and only the text is joined to the items; just
+    files without an extension of their own meet their items first, as these say what they
+    are. Formats without text need no file. Files over ``max_size`` aren't read: they keep
+    their metadata and get a warning.
     """
-    small = items.filter(F.col("size") <= max_size).join(files.select("path", F.col("content").alias("_bytes")), "path", "left")
-    read = small.withColumn("_e", extract_column(F.coalesce("_bytes", F.when(F.col("size") == 0, F.lit(b""))), F.col("ext"), max_chars)).drop("_bytes")
-    read = read.select(*items.columns, F.col("_e.text").alias("content"), F.col("_e.method").alias("method"), F.col("_e.warning").alias("warn"))
     from foliant.functions.text import format_bytes
 
+    small = items.filter(F.col("size") <= max_size)
+    # what needs no bytes: formats without text, and empty files, which listings leave out
+    blank = F.when(readable("path", readers) | (F.col("path") == ""), F.when(F.col("size") == 0, F.lit(b""))).otherwise(F.lit(b"\0"))
+    if files is None:
+        read = small.withColumn("_e", extract_column(blank, F.col("ext"), max_chars, readers))
+    else:
+        kinds = suffix("path")
+        bare = files.filter(kinds == "").join(small.filter(suffix("path") == "").select("path", "ext"), "path").select("path", extract_column(F.col("content"), F.col("ext"), max_chars, readers).alias("_t"))
+        own = files.filter(kinds != "").select("path", extract_column(F.col("content"), kinds, max_chars, readers).alias("_t"))
+        read = small.join(own.unionByName(bare), "path", "left")
+        read = read.withColumn("_e", F.when(F.col("_t").isNotNull(), F.col("_t")).otherwise(extract_column(F.when(F.col("_t").isNull(), blank), F.col("ext"), max_chars, readers)))
+    read = read.select(*items.columns, F.col("_e.text").alias("content"), F.col("_e.method").alias("method"), F.col("_e.warning").alias("warn"))
     note = F.concat(F.lit("文件超过 "), format_bytes(F.lit(max_size)), F.lit("，仅索引元数据"))
     large = items.filter(F.coalesce(F.col("size") > max_size, F.lit(True))).select(*items.columns, F.lit("").alias("content"), F.lit("skip").alias("method"), note.alias("warn"))
     return read.unionByName(large)

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
-from foliant.sources.extract import extract_files
+from foliant.sources.extract import extract_files, readable
+
+if TYPE_CHECKING:
+    from foliant.operators.index import IndexStore
 
 META = """id string, name string, ext string, url string, annotation string, size long, btime long, mtime long, modificationTime long,
 tags array<string>, folders array<string>, isDeleted boolean, star int"""
 _OWN = r"/images/([^/]+)\.info/"
+THUMBNAIL = r"(?i)_thumbnail\.[a-z0-9]+$"
 
 
 def scan_library(spark: SparkSession, library: str, settings: Settings | None = None) -> DataFrame:
@@ -32,7 +37,7 @@ def scan_library(spark: SparkSession, library: str, settings: Settings | None =
     texts = spark.read.option("wholetext", True).text(f"{library}/images/*.info/metadata.json").select(F.regexp_extract(F.input_file_name(), _OWN, 1).alias("item"), F.from_json("value", META).alias("m"))
     meta = texts.filter(F.col("m.id").isNotNull() | F.col("m.name").isNotNull() | F.col("m.ext").isNotNull()).select("item", "m.*")
     meta = meta.filter(F.lit(settings.include_trashed) | ~F.coalesce("isDeleted", F.lit(False)))
-    payload = files.filter((F.col("file") != "metadata.json") & ~F.rlike("file", F.lit(r"(?i)_thumbnail\.[a-z0-9]+$")))
+    payload = files.filter((F.col("file") != "metadata.json") & ~F.rlike("file", F.lit(THUMBNAIL)))
     first = payload.groupBy("item").agg(F.min(F.struct("file", "path", "bytes", "changed")).alias("p"))
     own = F.lower(F.regexp_extract("p.file", r"\.([^.]+)$", 1))
     none = F.array().cast("array<string>")
@@ -69,14 +74,47 @@ def read_folders(spark: SparkSession, library: str) -> DataFrame:
         return empty
 
 
-def read_items(spark: SparkSession, library: str, settings: Settings | None = None) -> DataFrame:
-    """The scanned items with named folders and their files' body text, as an index takes them in."""
+#: up to so many files are named to the reader one by one; more are read by pattern
+NAMED_FILES = 100_000
+
+
+def list_items(spark: SparkSession, library: str, settings: Settings | None = None) -> DataFrame:
+    """The scanned items with named folders, without any body text."""
     from foliant.operators.index import name_folders
 
+    return name_folders(scan_library(spark, library, settings), read_folders(spark, library))
+
+
+def read_texts(spark: SparkSession, library: str, items: DataFrame, settings: Settings | None = None, readers: dict | None = None) -> DataFrame:
+    """``items`` (from ``list_items``) with the body text of their files: content, method, warn.
+
+    Only payload files of readable formats within the size limit are opened. Up to
+    ``NAMED_FILES`` items are read by path; for more, the folder is read by pattern, and
+    file names and sizes are tested before any byte is read.
+    """
     settings = settings or Settings()
-    items = name_folders(scan_library(spark, library, settings), read_folders(spark, library))
-    files = spark.read.format("binaryFile").load(f"{library}/images/*.info/*").filter(F.col("length") <= settings.max_file_size)
-    return extract_files(items, files, settings.max_chars, settings.max_file_size)
+    named = [r.path for r in items.filter((F.col("path") != "") & readable("path", readers)).select("path").limit(NAMED_FILES + 1).toLocalIterator()]
+    if not named:
+        files = None
+    elif len(named) <= NAMED_FILES:
+        files = spark.read.format("binaryFile").load(named)
+    else:
+        name = F.col("_metadata.file_name")
+        files = spark.read.format("binaryFile").load(f"{library}/images/*.info/*").filter(readable("_metadata.file_name", readers) & (name != "metadata.json") & ~F.rlike(name, F.lit(THUMBNAIL)))
+    if files is not None:
+        files = files.filter((F.col("_metadata.file_size") <= settings.max_file_size) & (F.col("length") <= settings.max_file_size))
+    return extract_files(items, files, settings.max_chars, settings.max_file_size, readers)
+
+
+def read_items(spark: SparkSession, library: str, settings: Settings | None = None, readers: dict | None = None) -> DataFrame:
+    """All scanned items with named folders and their files' body text, as an index takes them in."""
+    return read_texts(spark, library, list_items(spark, library, settings), settings, readers)
+
+
+def update_index(store: IndexStore, library: str, readers: dict | None = None, **how) -> dict:
+    """Bring an index up to date with a library; only new and changed items are opened."""
+    spark, settings = store.spark, store.settings
+    return store.build(list_items(spark, library, settings), fetch=lambda rows: read_texts(spark, library, rows, settings, readers), **how)
 
 
 def load_settings(path: str) -> dict:

@@ -24,13 +24,13 @@ XLSX = archive(**{
     "xl/workbook.xml": '<sheets><sheet name="计数" sheetId="1"/></sheets>',
     "xl/worksheets/sheet1.xml": '<row><c r="A1" t="s"><v>1</v></c><c r="B1" s="2"/><c r="C1"><v>4.5</v></c><c r="D1" t="inlineStr"><is><t>in&lt;</t></is></c><c t="s"><v>0</v></c><c t="s"><v>99</v></c></row>',
 })
-ODT = archive(**{"content.xml": "<office:text><text:h>题</text:h><text:p>pi<text:s/>3.14<text:tab/>x</text:p></office:text>"})
+ODT = archive(**{"content.xml": "<office:text><text:h>题</text:h><text:p>tea<text:s/>7<text:tab/>x</text:p></office:text>"})
 EPUB = archive(**{"mimetype": "application/epub+zip", "OEBPS/c1.xhtml": "<html><style>p{}</style><p>第一章</p></html>", "OEBPS/c2.html": "<p>第二章</p>"})
-RTF = rb"{\rtf1\ansi{\fonttbl{\f0 SimSun;}}{\*\generator x;}\f0 " + "".join(rf"\'{b:02x}" for b in "中文报告".encode("gbk")).encode() + rb"\par tail \{x\} " + b"\\" + b"u20013?" + rb"\tab end}"
+RTF = rb"{\rtf1\ansi{\fonttbl{\f0 Invented Sans;}}{\*\generator x;}\f0 " + "".join(rf"\'{b:02x}" for b in "中文报告".encode("gbk")).encode() + rb"\par tail \{x\} " + b"\\" + b"u20013?" + rb"\tab end}"
 LEGACY = b"\xd0\xcf\x11\xe0" + b"\0" * 8 + "旧文档正文内容".encode("utf-16-le") + b"\0\0\1\0"
 FILES = {
     "D1": ("a.docx", DOCX), "P1": ("b.pptx", PPTX), "X1": ("c.xlsx", XLSX), "O1": ("d.odt", ODT), "E1": ("e.epub", EPUB), "R1": ("f.rtf", RTF),
-    "C1": ("g.csv", "名称,值\n样品,1\n".encode()), "C2": ("h.csv", "编码,数值\n样品甲,-1.8\n".encode("gbk")), "M1": ("i.md", "# 方法\n\n\n\ntext".encode("utf-8-sig")),
+    "C1": ("g.csv", "名称,值\n样品,1\n".encode()), "C2": ("h.csv", "货架,余量\n青瓷碗,42\n".encode("gbk")), "M1": ("i.md", "# 方法\n\n\n\ntext".encode("utf-8-sig")),
     "H1": ("j.html", "<title>页面标题</title><script>var hidden</script><p>body</p>".encode()), "F1": ("k.pdf", b"%PDF-1.4"), "L1": ("l.doc", LEGACY),
     "B1": ("m.docx", b"not a zip"), "U1": ("n.unknown", b"plain words"), "U2": ("o.bin", b"\0\1\2"), "I1": ("p.PNG", b"\x89PNG"), "T1": ("q.txt", b""),
 }
