@@ -37,6 +37,21 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], salts: int = 64) -> DataFrame:
+    """Inner join of two sides that may both hold a key many times; rows of heavy keys on the left are spread by ``spread``.
+
+    Heavy keys are those that hold at least 1/1000 of the right side's rows; their rows on
+    the right are repeated once per salt. For joins whose output is wanted whole, so that
+    no task makes more than a share of a heavy key's output.
+    """
+    flags = F.broadcast(heavy_keys(right.groupBy(*on).agg(F.count("*").alias("_n")), "_n").select(*on, F.lit(True).alias("_heavy")))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    left = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
+    each = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(flags, on, "left").withColumn("_salt", F.explode(each)).drop("_heavy")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def bounded_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], row_bytes: int, how: str = "inner", n: int | None = None) -> DataFrame:
     """Join that broadcasts ``lookup`` only if its counted size is within bounds, and shuffles otherwise."""
     n = lookup.count() if n is None else n
