@@ -26,8 +26,10 @@ from foliant.functions.textbuf import byte_view, char_classes, code_points, row_
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: code points handled in one piece by a worker; bounds its memory
 SLICE_CHARS = 1_000_000
-#: words a worker remembers before it starts afresh; bounds its memory, not the result
-CACHE_WORDS = 1_000_000
+#: bytes of words that a worker remembers, with what goes with them, before it starts afresh; bounds its memory, not the result
+CACHE_BYTES = 200_000_000
+#: about what a word takes besides its bytes and ids
+WORD_BYTES = 150
 
 
 class RankBitmap:
@@ -227,6 +229,7 @@ class CorpusEncoder:
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.begin = np.zeros(1 << 16, np.int64)
@@ -247,13 +250,19 @@ class CorpusEncoder:
         self.used += len(ids)
 
     def encode(self, column: pa.Array) -> Iterator[pa.Array]:
-        """The id lists of a column's texts, in arrays of consecutive rows, one at a time."""
-        if len(self.known) > CACHE_WORDS:
-            self.reset()
+        """The id lists of a column's texts, in arrays of consecutive rows, one at a time.
+
+        New words of consecutive slices are merged together, but no slice is begun while
+        more than ``CACHE_BYTES`` are held.
+        """
         raw, offsets = byte_view(column)
         pending: list[bytes] = []
-        pieces = []
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in row_slices(np.diff(offsets), 2 * SLICE_CHARS):
+            if self.held > CACHE_BYTES:
+                yield from self._ids(pending, pieces)
+                pending, pieces = [], []
+                self.reset()
             part = raw[offsets[lo] : offsets[hi]]
             off = offsets[lo : hi + 1] - offsets[lo]
             cps, rows = code_points(part, off)
@@ -268,9 +277,13 @@ class CorpusEncoder:
                 if k is None:
                     k = self.known[word] = len(self.known)
                     pending.append(word)
+                    self.held += 5 * len(word) + WORD_BYTES  # a word has at most one id of four bytes for each byte
                 ids.append(k)
             words = np.array(ids, np.int32)[coded.indices.to_numpy()]
             pieces.append((words, np.searchsorted(starts, rows)))
+        yield from self._ids(pending, pieces)
+
+    def _ids(self, pending: list[bytes], pieces: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Array]:
         if pending:
             self.learn(pending)
         for words, bounds in pieces:

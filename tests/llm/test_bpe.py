@@ -45,7 +45,7 @@ def test_very_long_pretoken(encoder, reference):
 
 def test_slices_and_reset(monkeypatch, reference):
     monkeypatch.setattr(bpe, "SLICE_CHARS", 10)
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     own = bpe.CorpusEncoder(bpe.default_vocabulary())
     texts = [f"word {k} and 词{k}" for k in range(200)]
     for _ in range(2):

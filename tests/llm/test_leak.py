@@ -4,6 +4,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from foliant.llm import leak
 
@@ -34,8 +35,8 @@ def run(spark, docs, items, **more):
     d = spark.createDataFrame([(*x, "q") for x in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, key string")
     rows = leak.find_leaks(d, "doc_id", "text", i, "item_id", "text", **more).collect()
-    got = {(r[0], r[1], r.item_chars): r.covered for r in rows}
-    assert len(got) == len(rows)
+    got = {(r[0], r[1], r.item_chars): r.covered for r in rows if r.covered}
+    assert len(rows) == len({(r[0], r[1], r.item_chars) for r in rows})
     return got
 
 
@@ -67,15 +68,23 @@ def test_blocks_of_items(spark, monkeypatch):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def matched(docs, items, **more):
+    table = leak.folding_table()
+    n = leak.repetitions(**more)
+    block = leak.make_block([i for i, _ in items], [t for _, t in items], table, 20, [leak.Walk(k, n) for k in range(n)])
+    out = {}
+    for row, item, covered, edits in zip(*leak.leaks_of(pa.array([t for _, t in docs], pa.string()), block, table)):
+        c, e = out.get((docs[row][0], items[item][0]), (0, -1))
+        out[docs[row][0], items[item][0]] = max(c, covered), max(e, edits)
+    return out
+
+
 def test_small_slices(monkeypatch):
     monkeypatch.setattr(leak, "SLICE_CHARS", 50)
     docs, items = planted(5)
-    table = leak.folding_table()
-    some = [x for x in items if x[1]]
-    block = leak.make_block([i for i, _ in some], [t for _, t in some], table, [leak.WalkKeys(20, 12, 1)], 20)
-    row, item, covered = leak._matches(pa.array([t for _, t in docs]), block, table, 20, 0)
-    got = {(docs[r][0], some[i][0], int(np.diff(block.bounds)[i])): int(c) for r, i, c in zip(row, item, covered)}
-    assert got == brute(docs, items)
+    items = [x for x in items if x[1]]
+    size = {i: len(folded(t)) for i, t in items}
+    assert {(d, i, size[i]): c for (d, i), (c, _) in matched(docs, items).items() if c} == brute(docs, items)
 
 
 def test_no_items_and_no_documents(spark):
@@ -90,36 +99,81 @@ def test_ties_and_repeats(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_edit_distance_band():
-    rng = random.Random(2)
+def test_repetitive_texts_make_no_pairs_of_places(monkeypatch):
+    """Every place of the text equals every place of the item; only lists are made."""
+    most = []
+    expand = leak.Lists.expand
+    monkeypatch.setattr(leak.Lists, "expand", lambda self, lists: most.append(int(self.count[lists].sum())) or expand(self, lists))
+    got = matched([(1, "a" * 300_000)], [(1, "a" * 2000)])
+    assert got == {(1, 1): (2000, 0)} and max(most) < 10_000
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    a = np.array([[rng.randint(0, 3) for _ in range(8)] for _ in range(400)])
-    b = np.array([[rng.randint(0, 3) for _ in range(8)] for _ in range(200)] + a[200:].tolist())
-    for k in range(200, 400):
-        b[k, rng.randrange(8)] = 9
-    for edits in (0, 1, 2, 3):
-        assert leak.within_edits(a, b, edits).tolist() == [distance(x, y) <= edits for x, y in zip(a.tolist(), b.tolist())]
-
-
-def test_recall_with_edits():
-    """Windows with one replaced character are found nearly always once repetitions follow the recall wanted."""
-    rng = random.Random(7)
-    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(300)]
-    changed = []
-    for t in texts:
-        k = rng.randrange(20)
-        changed.append(t[:k] + "0" + t[k + 1 :])
-    walks = [leak.WalkKeys(20, 12, s) for s in range(1, leak.repetitions(20, 12, 1, 0.95) + 1)]
-    table = leak.folding_table()
-    block = leak.make_block(list(range(300)), texts, table, walks, 20)
-    row, item, _ = leak._matches(pa.array(changed), block, table, 20, 1)
-    assert len(set(zip(row.tolist(), item.tolist())) & {(k, k) for k in range(300)}) >= 0.9 * 300
+
+def distance(a, b, free=False):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row) if free else row[-1]
+
+
+def test_prefix_distance():
+    rng = random.Random(2)
+    for most in (0, 1, 2, 5):
+        pairs = []
+        for _ in range(150):
+            a = [rng.randint(0, 3) for _ in range(rng.randint(0, 12))]
+            b = list(a) + [rng.randint(0, 3) for _ in range(most)]
+            for _ in range(rng.randint(0, 3)):
+                if b:
+                    b[rng.randrange(len(b))] = 9
+            pairs.append((a, b[: len(a) + most]))
+        size = np.array([len(a) for a, _ in pairs])
+        wide = np.zeros((len(pairs), 12), np.uint32)
+        text = np.full((len(pairs), 12 + most), 77, np.uint32)
+        for k, (a, b) in enumerate(pairs):
+            wide[k, : len(a)], text[k, : len(b)] = a, b
+        want = [min(most + 1, distance(a, b + [77] * (12 + most - len(b)), True)) for a, b in pairs]
+        assert leak.prefix_distance(wide, size, text, most).tolist() == want
+
+
+def edited(text, edits, rng, kinds):
+    out = list(text)
+    for _ in range(edits):
+        kind, k = rng.choice(kinds), rng.randrange(len(out))
+        if kind == "replace":
+            out[k] = "0"
+        elif kind == "insert":
+            out.insert(k, "1")
+        else:
+            del out[k]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kinds", [("replace",), ("insert",), ("delete",), ("replace", "insert", "delete")])
+@pytest.mark.parametrize("edits", [0, 1, 2, 3, 5])
+def test_recall_of_items_with_edits(edits, kinds):
+    """Items with as many edits as are allowed, in the middle of other text: nine of ten at least are found, with their distance."""
+    rng = random.Random(edits)
+    size = max(leak.CHARS_PER_EDIT, leak.CHARS_PER_EDIT * edits)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(k, word(rng.randint(size, size + 30))) for k in range(200)]
+    docs = [(k, word(rng.randint(0, 60)) + edited(t, edits, rng, kinds) + word(rng.randint(0, 60))) for k, t in items]
+    got = matched(docs, items)
+    found = {k: e for (d, k), (_, e) in got.items() if d == k and e >= 0}
+    assert len(found) >= 0.9 * len(items) and all(e <= edits for e in found.values())
+
+
+def test_items_found_whole_are_cases(spark):
+    """The edit distance alone decides, and agrees with the count of the stretches."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(k, word(rng.randint(40, 160))) for k in range(60)]
+    docs = [(k, word(20) + edited(t, rng.randint(0, len(t) // 40), rng, ("replace", "insert", "delete")) + word(20)) for k, t in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = leak.find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()
+    near = [r for r in rows if r.edits is not None]
+    assert len(near) > 50 and all(2 * r.covered >= r.item_chars for r in near)
+    frame = spark.createDataFrame([(0, 100, 2), (0, 100, 3), (0, 100, None), (50, 100, None), (0, 0, None)], "covered long, item_chars long, edits long")
+    assert sorted((r.covered, r.edits) for r in leak.leaked(frame).collect() if r.edits) == [(0, 2)] and leak.leaked(frame).count() == 2
