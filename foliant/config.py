@@ -12,8 +12,8 @@ PROFILES = {
     "long": {"max_chars": 20_000_000, "max_file_size": 256 * 1024 * 1024},
 }
 
-# Field bits of a posting, in the order in which hit fields are named
-MASK = {"name": 1, "annotation": 2, "tags": 4, "folders": 8, "url": 32, "content": 16}
+# Field bits of a posting
+MASK = {"name": 1, "annotation": 2, "tags": 4, "folders": 8, "content": 16, "url": 32}
 # Weights of fields in the score; content has a saturating term frequency instead
 WEIGHTS = {"name": 6.0, "annotation": 3.5, "tags": 4.5, "folders": 2.0, "url": 0.8}
 K1 = 1.2

@@ -28,6 +28,9 @@ def _replace_all(column: Column, steps: list[tuple[str, str]]) -> Column:
     return column
 
 
+# Fixed values below: the patterns of cleaning and of stripping markup, in the order in which they apply
+
+
 def clean_text(column: Column | str) -> Column:
     """Text without control, private-use and replacement characters, with white space evened out; null stays null."""
     return _replace_all(
@@ -45,9 +48,7 @@ def clean_text(column: Column | str) -> Column:
 
 def decode_entities(column: Column | str) -> Column:
     """Named entities of the fixed list and numeric ones; others stay as they are."""
-    column = _col(column)
-    numeric = numeric_entities(column)
-    column = F.when(F.contains(column, F.lit("&#")), numeric).otherwise(column)
+    column = numeric_entities(_col(column))
     for name, by in ENTITIES.items():
         column = F.regexp_replace(column, f"(?i)&{name};", by)
     return column
@@ -74,7 +75,26 @@ def _arrow(function, name: str):
 
 
 def numeric_entities(column: Column) -> Column:
-    return _arrow(_numeric, "numeric_entities")(column)
+    """Entities by number, hexadecimal ones first; numbers that are no characters go.
+
+    Each different entity of a text is replaced everywhere at once; the ampersand's comes
+    last, so that none is decoded twice.
+    """
+
+    def char(number: Column) -> Column:
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.when(valid, number.cast("long")).otherwise(F.lit(63).cast("long"))
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+    def decoded(text: Column, pattern: str, number) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        mark = lambda e: F.struct((number(e) == 38).alias("last"), e.alias("e"), char(number(e)).alias("c"))
+        return F.aggregate(F.array_sort(F.transform(found, mark)), text, lambda acc, m: F.replace(acc, m["e"], m["c"]))
+
+    digits = lambda e, skip: F.substring(e, skip, F.length(e) - skip)
+    exact = "decimal(38,0)"
+    column = decoded(column, "&#x[0-9a-fA-F]+;", lambda e: F.conv(digits(e, 4), 16, 10).cast(exact))
+    return decoded(column, "&#[0-9]+;", lambda e: F.coalesce(F.try_to_number(digits(e, 3), F.lit("9" * 38)), F.lit(-1)).cast(exact))
 
 
 def strip_markup(column: Column | str) -> Column:

@@ -154,6 +154,7 @@ class IndexStore:
             return None, "library"
         try:
             index = self._read(m["segments"])
+            index.n_docs = m["count"]
         except Exception:  # a missing or unreadable table
             return None, "broken"
         if m.get("signature") and m["signature"] != self.settings.signature():

@@ -9,8 +9,9 @@ from foliant.config import EXT_GROUPS
 from foliant.functions.text import fold
 from foliant.functions.tokenizer import query_terms
 
-#: Han words of this shape must also occur letter by letter
-_HAN_WORD = re.compile(r"[㐀-鿿豈-﫿]{2,12}")
+# Han words of this shape must also occur letter by letter
+_HAN_WORD = re.compile(r"[\u3400-\u9FFF\uF900-\uFAFF]{2,12}")
+# The names of field filters, and the numbers of stars
 _FIELD = re.compile(r"(ext|type|tag|folder|star|size):(.+)", re.IGNORECASE | re.DOTALL)
 _STARS = re.compile(r"(>=|<=|>|<|=)?\s*([0-9]+)")
 

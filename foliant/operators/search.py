@@ -9,6 +9,7 @@ bounded pool of best candidates.
 from __future__ import annotations
 
 from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,12 @@ from foliant.operators.snippet import ranges_of, snippet_of
 
 @dataclass
 class Index:
-    """The tables of an index: docs by idx, postings unique by (term, idx), texts (idx, content)."""
+    """The tables of an index: docs by idx, postings unique by (term, idx), texts (idx, content); ``n_docs`` where it is known."""
 
     docs: DataFrame
     postings: DataFrame
     texts: DataFrame
+    n_docs: int | None = None
 
 
 @dataclass
@@ -76,33 +78,34 @@ def matches(filters: Filters) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def score_terms(postings: DataFrame, terms: list[str], n_docs: Column) -> DataFrame:
-    """(idx, score, mask, matched, known) of every document with one of the terms; known is how many of them the index has.
+def term_frequencies(postings: DataFrame, terms: list[str]) -> dict[str, int]:
+    """The number of documents of each term that the index has; at most a row for each query term comes to the driver."""
+    return {r.term: r["count"] for r in postings.filter(F.col("term").isin(*terms)).groupBy("term").count().collect()}
+
+
+def score_terms(postings: DataFrame, known: dict[str, int], n_docs: int) -> DataFrame:
+    """(idx, score, mask, matched) of every document with one of the ``known`` terms, given their document frequencies.
 
     Sums are rounded to ten decimals, so that equal scores tie whatever the order of summing.
-    The table of document frequencies has a row for each query term at most, so it is broadcast.
     """
-    hit = postings.filter(F.col("term").isin(*terms))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    if not known:
+        return postings.limit(0).select("idx", F.lit(0.0).alias("score"), "mask", F.lit(0).cast("long").alias("matched"))
+    hit = postings.filter(F.col("term").isin(*known))
+    rarity = F.create_map(*[F.lit(x) for term, df in known.items() for x in (term, math.log(1 + (n_docs - df + 0.5) / (df + 0.5)))])
     weight = term_weight(F.col("mask"), F.col("tf"))
-    part = idf(F.col("df"), n_docs) * (weight / (weight + K1))
-    summed = hit.join(F.broadcast(df), "term").groupBy("idx").agg(F.round(F.sum(part), 10).alias("score"), F.bit_or("mask").alias("mask"), F.count("*").alias("matched"))
-    return summed.withColumn("known", df.agg(F.count("*").alias("n")).scalar())
+    part = F.element_at(rarity, F.col("term")) * (weight / (weight + K1))
+    return hit.groupBy("idx").agg(F.round(F.sum(part), 10).alias("score"), F.bit_or("mask").alias("mask"), F.count("*").alias("matched"))
 
 
-def choose_mode(scored: DataFrame, need: int) -> DataFrame:
+def choose_mode(scored: DataFrame, need: int, known: int) -> tuple[str, DataFrame]:
     """All-terms matches if there are any, else any-term matches with their score lowered by coverage.
 
-    Decided on the index alone, before any filter or exclusion.
+    Decided on the index alone, before any filter or exclusion; what the known terms don't decide, one look for a full match does.
     """
-    complete = F.coalesce(scored.agg(F.max("matched").alias("m")).scalar(), F.lit(0)) == need
-    share = PARTIAL_FLOOR + (1 - PARTIAL_FLOOR) * F.col("matched") / F.col("known")
-    return (
-        scored.withColumn("mode", F.when(complete, "and").otherwise("or"))
-        .filter((F.col("mode") == "or") | (F.col("matched") == need))
-        .withColumn("score", F.when(F.col("mode") == "and", F.col("score")).otherwise(F.round(F.col("score") * share, 10)))
-        .withColumn("partial", (F.col("mode") == "or") & (F.col("matched") < F.col("known")))
-    )
+    if known == need and (need == 1 or not scored.filter(F.col("matched") == need).isEmpty()):
+        return "and", scored.filter(F.col("matched") == need).withColumn("partial", F.lit(False))
+    share = PARTIAL_FLOOR + (1 - PARTIAL_FLOOR) * F.col("matched") / F.lit(known or 1)
+    return "or", scored.withColumn("score", F.round(F.col("score") * share, 10)).withColumn("partial", F.col("matched") < known)
 
 
 def _order(sort: str) -> list[Column]:
@@ -160,9 +163,9 @@ def search(index: Index, query: str | None, extra: Filters | None = None, sort:
         summary = allowed.agg(F.lit("browse").alias("mode"), F.count("*").alias("total"), F.lit(0).cast("long").alias("candidates"), F.lit(0).cast("long").alias("partials"))
         return Result(_decorate(hits, index, parsed, False) if snippets else hits, summary, parsed, filters)
 
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    picked = choose_mode(score_terms(index.postings, parsed.terms, n_docs), len(parsed.terms))
-    mode = picked.agg(F.coalesce(F.max("mode"), F.lit("or")).alias("mode"))
+    n_docs = docs.count() if index.n_docs is None else index.n_docs
+    known = term_frequencies(index.postings, parsed.terms)
+    mode, picked = choose_mode(score_terms(index.postings, known, n_docs), len(parsed.terms), len(known))
     if parsed.neg_terms:
         picked = picked.join(index.postings.filter(F.col("term").isin(*parsed.neg_terms)).select("idx").distinct(), "idx", "left_anti")
     cands = picked.join(allowed, "idx").withColumn("base", F.col("score"))
@@ -182,12 +185,11 @@ def search(index: Index, query: str | None, extra: Filters | None = None, sort:
     final = _with_rank(_ranked(best, sort, limit), sort)
     shown = final.withColumn("score", F.col("score") * PHRASE_BOOST) if parsed.literals else final
     counts = final.agg(F.count("*").alias("found"), F.count_if("partial").alias("partials"))
-    # tables of one row each, joined as scalars
-    summary = mode.select(
-        "mode",
-        (counts.select("found") if verify else cands.agg(F.count("*").alias("n"))).scalar().alias("total"),
+    summary = counts.select(
+        F.lit(mode).alias("mode"),
+        (F.col("found") if verify else cands.agg(F.count("*").alias("n")).scalar()).alias("total"),
         cands.agg(F.count("*").alias("n")).scalar().alias("candidates"),
-        counts.select("partials").scalar().alias("partials"),
+        "partials",
     )
     return Result(_decorate(shown, index, parsed, True) if snippets else shown, summary, parsed, filters)
 

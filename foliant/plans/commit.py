@@ -60,3 +60,10 @@ def children(spark: SparkSession, path: str) -> list[str]:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, modification time) of a file, or of what lies directly in a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files)

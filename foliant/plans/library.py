@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.operators.orphans import PendingOrphans, library_parents, library_references
+from foliant.operators.orphans import PendingOrphans, library_batches
 from foliant.plans.stage import new_folder
 from foliant.sources.tables import table
 from foliant.streaming.incremental import replay_builds
@@ -22,9 +22,10 @@ def p3_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _tracked(spark: SparkSession, at: str) -> PendingOrphans:
-    metadata = table(spark, at, "metadata")
-    state = PendingOrphans(spark, new_folder(spark, "orphans"))
-    state.apply(library_references(metadata, table(spark, at, "docs"), table(spark, at, "documents")), library_parents(metadata, table(spark, at, "folders")))
+    """The state after the library's batches: references and parents arrive, change and go in the order of their times."""
+    state = PendingOrphans(spark, new_folder(spark, "orphans"), buckets=8)
+    for batch in library_batches(*(table(spark, at, name) for name in ("metadata", "docs", "documents", "folders"))):
+        state.apply(*batch)
     return state
 
 
