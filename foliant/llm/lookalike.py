@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.textbuf import MAX_CP, byte_view, code_points, row_slices, rows_to_strings
+from foliant.plans.skew import salted_join, salted_lookup
 from foliant.plans.stage import stage
 
 SLICE_BYTES = 4_000_000
@@ -202,25 +203,41 @@ def same_look_pairs(texts: DataFrame) -> DataFrame:
     """(field, a, b), a < b: ids of (field, id, text) rows whose non-empty texts look the same but are stored differently.
 
     Pairs are formed between the different writings of one look and only then carried to
-    the ids that hold them, so equal texts are never paired, however many rows hold one.
-    Rows with a null id or text are left out, repeated rows count once.
+    the ids that hold them, so equal texts are never paired, however many rows hold one; a
+    look or a text that many rows hold is joined with salted keys. Rows with a null id or
+    text are left out, repeated rows count once.
     """
     rows = stage(texts.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("field", "id", "text").distinct(), "texts")
     looks = stage(rows.select("text").distinct().withColumn("look", visual_form("text")), "looks")
-    several = looks.groupBy("look").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).filter(F.col("lo") != F.col("hi")).select("look")
-    looks = looks.join(several, "look", "left_semi")
+    several = looks.groupBy("look").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count("*").alias("weight")).filter(F.col("lo") != F.col("hi")).select("look", "weight")
+    looks = stage(salted_lookup(looks, several, ["look"], "weight", spread=["text"]).drop("weight"), "several")
     x, y = looks.select("look", F.col("text").alias("x")), looks.select("look", F.col("text").alias("y"))
-    writings = x.join(y, "look").filter(F.col("x") < F.col("y")).select("x", "y")
-    left = rows.select("field", F.col("id").alias("i"), F.col("text").alias("x"))
-    right = rows.select("field", F.col("id").alias("j"), F.col("text").alias("y"))
-    met = left.join(writings, "x").join(right, ["field", "y"]).filter(F.col("i") != F.col("j"))
+    writings = salted_join(x, y, ["look"], ["x"]).filter(F.col("x") < F.col("y")).select("x", "y")
+    held = stage(rows.join(looks.select("text"), "text", "left_semi"), "held")
+    left = held.select("field", F.col("id").alias("i"), F.col("text").alias("x"))
+    right = held.select("field", F.col("id").alias("j"), F.col("text").alias("y"))
+    met = salted_join(salted_join(left, writings, ["x"], ["i"]), right, ["field", "y"], ["i"]).filter(F.col("i") != F.col("j"))
     return met.select("field", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
+def same_look_classes(texts: DataFrame) -> DataFrame:
+    """(field, id, class_id, links): the smallest id whose text of the field looks the same, and how many ids' texts look the same but are stored differently.
+
+    One row for each (field, id) with a non-empty text, so the size of a class costs
+    nothing; ``id`` must have one text in a field. Only counts are shuffled by look.
+    """
+    rows = stage(texts.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("field", "id", "text").distinct().withColumn("look", visual_form("text")), "looks")
+    writings = rows.groupBy("field", "look", "text").agg(F.count("*").alias("same"), F.min("id").alias("least"))
+    classes = writings.groupBy("field", "look").agg(F.sum("same").alias("all"), F.min("least").alias("class_id"))
+    counted = salted_lookup(writings.drop("least"), classes, ["field", "look"], "all", spread=["text"])
+    met = salted_lookup(rows, counted.drop("look"), ["field", "text"], "same", spread=["id"])
+    return met.select("field", "id", "class_id", (F.col("all") - F.col("same")).alias("links"))
+
+
 def same_look_values(values: DataFrame, listed: DataFrame) -> DataFrame:
     """(id, value): pairs of an id of ``values`` (id, text) and a value of ``listed`` (value) that looks like its text but is stored differently."""
-    rows = values.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("id", "text").distinct()
+    rows = stage(values.filter(F.col("id").isNotNull() & (F.col("text") != "")).select("id", "text").distinct(), "values")
     looks = rows.select("text").distinct().withColumn("look", visual_form("text"))
     known = listed.filter(F.col("value") != "").select("value").distinct().withColumn("look", visual_form("value"))
-    met = looks.join(known, "look").filter(F.col("text") != F.col("value")).select("text", "value")
-    return rows.join(met, "text").select("id", "value").distinct()
+    met = stage(looks.join(known, "look").filter(F.col("text") != F.col("value")).select("text", "value"), "met")
+    return salted_join(rows, met, ["text"], ["id"]).select("id", "value").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_frequency(spark: SparkSession, at: str) -> DataFrame:
     """Every posting term and every tag of live items: occurrences, records, and the mark of useless ones."""
     postings = table(spark, at, "postings")
-    live = live_items(table(spark, at, "metadata"), "tags")
+    live = stage(live_items(table(spark, at, "metadata"), "tags"), "live")
     terms = postings.select(F.lit("terms").alias("field"), "term", F.col("idx").alias("record"), F.col("tf").alias("n"))
     tags = live.select("id", F.explode(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("term"))
     tags = tags.groupBy("id", "term").agg(F.count("*").alias("n")).select(F.lit("tags").alias("field"), "term", F.col("id").alias("record"), "n")
-    counts = frequency.term_frequencies(terms).unionByName(frequency.term_frequencies(tags, unique=True))
-    sizes = postings.agg(F.countDistinct("idx").alias("size")).select(F.lit("terms").alias("field"), "size").unionByName(live.agg(F.count("*").alias("size")).select(F.lit("tags").alias("field"), "size"))
+    found, records = frequency.frequencies_and_records(terms)
+    counts = found.unionByName(frequency.term_frequencies(tags, unique=True))
+    sizes = records.select(F.lit("terms").alias("field"), "size").unionByName(live.agg(F.count("*").alias("size")).select(F.lit("tags").alias("field"), "size"))
     return frequency.mark_useless(counts, sizes)
 
 
@@ -40,10 +42,12 @@ def _occurrences(live: DataFrame) -> DataFrame:
     return tags.unionByName(words.select(F.lit("text").alias("field"), "term", F.col("id").alias("record"), "tf"))
 
 
-def _scored(spark: SparkSession, at: str) -> DataFrame:
-    live = live_items(table(spark, at, "metadata"), "name", "annotation", "tags")
+def _scored(spark: SparkSession, at: str, cases: bool = False) -> DataFrame:
+    live = stage(live_items(table(spark, at, "metadata"), "name", "annotation", "tags"), "live")
     rows = stage(_occurrences(live), "occurrences")
-    return distinct.residual_idf(rows, live.agg(F.count("*").alias("n")).scalar())
+    n = live.agg(F.count("*").alias("n")).scalar()
+    least = F.when(F.col("field") == "text", distinct.least_ridf(n, LEAST_TIMES, MOST_RECORDS)) if cases else None
+    return distinct.residual_idf(rows, n, least)
 
 
 def p2_scores(spark: SparkSession, at: str) -> DataFrame:
@@ -51,13 +55,21 @@ def p2_scores(spark: SparkSession, at: str) -> DataFrame:
     return _scored(spark, at).select(F.col("record").alias("id"), "field", "term", "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("score", 6).alias("score"))
 
 
+#: a word is a case if it occurs so often in an item, and in no more items than these
+LEAST_TIMES, MOST_RECORDS = 3, 12
+
+
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
-    """The best-scored tag of an item that stands out tenfold, and words that pile up in few items."""
-    scored = _scored(spark, at)
+    """The best-scored tag of an item that stands out tenfold, and the best-scored words, which pile up in few items.
+
+    Words are candidates by their residual inverse document frequency, above a bound that
+    no case falls below; how often and in how many items they occur is checked last.
+    """
+    scored = _scored(spark, at, cases=True)
     best = Window.partitionBy("record").orderBy(F.desc("score"), "df")
     tags = scored.filter(F.col("field") == "tags").withColumn("rank", F.row_number().over(best)).withColumn("next", F.lead("df").over(best)).withColumn("last", F.lead("df", 2).over(best))
     tags = tags.filter((F.col("rank") == 1) & F.col("last").isNotNull() & (F.col("df") >= 2) & (F.col("next") >= 10 * F.col("df")))
-    words = scored.filter((F.col("field") == "text") & (F.col("tf") >= 3) & F.col("df").between(2, 12))
+    words = scored.filter((F.col("field") == "text") & (F.col("tf") >= LEAST_TIMES) & F.col("df").between(2, MOST_RECORDS))
     return tags.select(F.col("record").alias("id"), "field", "term").unionByName(words.select(F.col("record").alias("id"), "field", "term"))
 
 
@@ -88,6 +100,13 @@ def p6_found(spark: SparkSession, at: str) -> DataFrame:
     return pairs.unionByName(near)
 
 
+def p6_classes(spark: SparkSession, at: str) -> DataFrame:
+    """Every current item's name and annotation with its class of texts that look the same, and its number of links."""
+    items = current_items(table(spark, at, "metadata"), "name", "annotation")
+    texts = [items.select(F.lit(c).alias("field"), "id", F.col(c).alias("text")) for c in ("name", "annotation")]
+    return lookalike.same_look_classes(texts[0].unionByName(texts[1]))
+
+
 def p6_forms(spark: SparkSession, at: str) -> DataFrame:
     """Name, annotation and tags of every current item in the consistent writing."""
     items = current_items(table(spark, at, "metadata"), "name", "annotation", "tags")
@@ -106,7 +125,7 @@ def p7_ids(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, at: str) -> DataFrame:
-    """Every document that holds twenty or more consecutive letters and digits of an eval item, with how many of the item's it holds."""
+    """Every document that holds an eval item nearly whole, or twenty or more of its consecutive letters and digits: how much of it, and within how many edits."""
     return leak.find_leaks(_texts(spark, at), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text")
 
 
@@ -125,7 +144,7 @@ def p9_shared(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_frequency, p2_found, p2_scores, p5_found, p5_pairs, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p9_found, p9_shared]
+    found = [p1_found, p1_frequency, p2_found, p2_scores, p5_found, p5_pairs, p6_found, p6_classes, p6_forms, p7_ids, p8_found, p8_leaks, p9_found, p9_shared]
     return {f.__name__: f for f in found}
 
 
@@ -160,8 +179,33 @@ full_pairs AS (SELECT p.field, p.a, p.b, p.n, sa.n AS n_a, sb.n AS n_b, (SELECT
   FROM pairs p JOIN single sa ON sa.field = p.field AND sa.v = p.a JOIN single sb ON sb.field = p.field AND sb.v = p.b)"""
 
 
+#: letters and digits of other width, each with its common form
+_WIDTHS = [(c, how) for c in map(chr, range(0xFF00, 0xFFE0)) if (how := unicodedata.normalize("NFKC", c)) and len(how) == 1 and how.isalnum()]
+
+_LEAKS = f"""
+WITH folded_items AS (SELECT DISTINCT item_id, regexp_replace(lower(translate(text, '{"".join(c for c, _ in _WIDTHS)}', '{"".join(how for _, how in _WIDTHS)}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM eval_items WHERE text <> ''),
+folded_docs AS (SELECT DISTINCT doc_id, regexp_replace(lower(translate(text, '{"".join(c for c, _ in _WIDTHS)}', '{"".join(how for _, how in _WIDTHS)}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM documents WHERE text <> ''),
+item_grams AS (SELECT item_id, t, o, substring(t, o + 1, 20) AS g FROM (SELECT item_id, t, unnest(range(length(t) - 19)) AS o FROM folded_items WHERE length(t) >= 20)),
+doc_grams AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, substring(t, o + 1, 20) AS g FROM (SELECT doc_id, t, unnest(range(length(t) - 19)) AS o FROM folded_docs WHERE length(t) >= 20)) WHERE g IN (SELECT g FROM item_grams)),
+held AS (SELECT DISTINCT doc_id, item_id, t, o FROM doc_grams JOIN item_grams USING (g)),
+covered AS (SELECT doc_id, item_id, t, sum(step) AS covered FROM (SELECT doc_id, item_id, t, least(20, coalesce(o - lag(o) OVER (PARTITION BY doc_id, item_id, t ORDER BY o), 20)) AS step FROM held) GROUP BY ALL)"""
+
+_SPANS = """
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 320),
+wins AS (SELECT doc_id, pos, md5(substring(text, pos + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 319)) AS pos FROM texts)),
+several AS (SELECT h FROM wins GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+shared AS (SELECT wins.* FROM wins JOIN several USING (h))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM covered WHERE covered * 2 >= length(t)",
+        "p9_found": f"""{_SPANS}, holders AS (SELECT DISTINCT h, doc_id FROM shared)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM holders a JOIN holders b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p9_shared": f"""{_SPANS}, parts AS (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(320, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 320)) AS step FROM shared) GROUP BY doc_id),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS copy_of, count(*) OVER (PARTITION BY text) AS n FROM texts)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(p.n, 0)::BIGINT AS shared_chars, CASE WHEN c.n > 1 THEN c.copy_of END AS copy_of
+FROM documents d LEFT JOIN parts p ON d.doc_id = p.doc_id LEFT JOIN copies c ON d.doc_id = c.doc_id""",
         "p1_frequency": f"{_FREQUENCY} SELECT field, term, n_occurrences, n_records, mark FROM marked",
         "p1_found": f"{_FREQUENCY} SELECT field, term FROM marked WHERE mark IS NOT NULL",
         "p2_scores": f"{_SCORES} SELECT id, field, term, tf, df, cf, round(ridf, 6) AS ridf, round(tf * ridf, 6) AS score FROM scored",

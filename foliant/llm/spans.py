@@ -219,7 +219,7 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
     docs = _identified(texts, key, text, min_chars)
     runs = stage(_runs(docs, min_chars), "runs")
     several = runs.filter("head").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count("*").alias("weight")).filter(F.col("rep") != F.col("last"))
-    copies = stage(salted_lookup(runs.filter("head").select("doc", "c1", "c2"), several.drop("last"), ["c1", "c2"], "weight", spread=["doc"]).select("rep", "doc").distinct(), "copies")
+    copies = stage(salted_lookup(runs.filter("head").select("doc", "c1", "c2"), stage(several.drop("last"), "several"), ["c1", "c2"], "weight", spread=["doc"]).select("rep", "doc").distinct(), "copies")
 
     # level one: anchors that different texts hold
     repeated = (
@@ -228,13 +228,13 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
         .filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
         .select("h", "weight")
     )
-    alive = salted_lookup(runs.drop("head"), repeated, ["h"], "weight", spread=["c1", "at"]).drop("weight")
+    alive = salted_lookup(runs.drop("head"), stage(repeated, "anchors"), ["h"], "weight", spread=["c1", "at"]).drop("weight")
     alive = stage(alive.groupBy("c1", "c2", "at", "n", "o", "h", "d1", "d2", "prev").agg(F.min("doc").alias("doc")).drop("c1", "c2"), "alive")
 
     # level two: whole runs, and single spans where an anchor has rival runs
     classes = stage(alive.groupBy("h", "d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("n").alias("n"), F.min("o").alias("o"), F.min(F.struct("doc", "at")).alias("first")), "classes")
     rival = classes.groupBy("h").agg(F.count("*").alias("weight")).filter(F.col("weight") > 1)
-    rivals = salted_lookup(classes, rival, ["h"], "weight", spread=["d1"]).drop("weight")
+    rivals = salted_lookup(classes, stage(rival, "rival"), ["h"], "weight", spread=["d1"]).drop("weight")
     wanted = rivals.select(F.col("first.doc").alias("doc"), F.struct("h", "d1", "d2", "lo", "hi", "n", "o", F.col("first.at").alias("at")).alias("run"))
     size = classes.count()  # there are at most as many rivals
     wanted = wanted.groupBy("doc").agg(F.collect_list("run").alias("runs"))
@@ -243,10 +243,10 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
     held = held.select(F.explode(F.transform("runs", lambda r: F.struct(*[r[c].alias(c) for c in ("h", "d1", "d2", "lo", "hi", "n", "o")], cut(r).alias("run")))).alias("r")).select("r.*")
     # a document stored twice, whole or under one key with other texts, would give its runs twice
     rivals = stage(held.groupBy("h", "d1", "d2").agg(F.min(F.struct("lo", "hi", "n", "o", "run")).alias("r")).select("h", "d1", "d2", "r.*").withColumn("cid", F.monotonically_increasing_id()), "rivals")
-    spans = _spans(rivals, min_chars)
+    spans = stage(_spans(rivals, min_chars), "spans")
     where = ["h", "off", "w"]
     shared = spans.groupBy(*where).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("cid").alias("rep"), F.max("cid").alias("_last"), F.count("*").alias("weight")).filter((F.col("_lo") != F.col("_hi")) & (F.col("rep") != F.col("_last")))
-    met = stage(salted_lookup(spans.drop("lo", "hi"), shared.drop("_lo", "_hi", "_last"), where, "weight", spread=["cid"]).drop("weight"), "met")
+    met = stage(salted_lookup(spans.drop("lo", "hi"), stage(shared.drop("_lo", "_hi", "_last"), "shared"), where, "weight", spread=["cid"]).drop("weight"), "met")
     return SharedSpans(alive, classes, rivals, _verified(met, rivals, min_chars), copies)
 
 
@@ -274,10 +274,10 @@ def fork_pairs(rows: DataFrame, group: list[str], member: str, prev: Column) ->
     four times as many rows are made as there are pairs that differ.
     """
     own = F.when(prev.isNull(), F.xxhash64(F.col(member).cast("string"), F.lit("no left neighbour"))).otherwise(prev)
-    rows = rows.select(*group, F.col(member).alias("m"), own.alias("p")).distinct()
+    rows = stage(rows.select(*group, F.col(member).alias("m"), own.alias("p")).distinct(), "members")
     sizes = rows.groupBy(*group, "p").agg(F.count("*").alias("size"))
     forks = sizes.groupBy(*group).agg(F.max(F.struct("size", "p")).alias("top"), F.min("p").alias("x"), F.max("p").alias("y"), F.sum("size").alias("weight")).filter(F.col("x") != F.col("y"))
-    forks = forks.select(*group, F.col("top.p").alias("top"), "weight")
+    forks = stage(forks.select(*group, F.col("top.p").alias("top"), "weight"), "forks")
     ends = stage(salted_lookup(rows, forks, group, "weight", spread=["m"]).drop("weight"), "ends")
     a = ends.filter(F.col("p") != F.col("top")).select(*group, F.col("m").alias("a"), F.col("p").alias("pa"))
     b = ends.select(*group, F.col("m").alias("b"), F.col("p").alias("pb"))
@@ -325,7 +325,7 @@ def shared_amount(texts: DataFrame, key: str, text: str, shared: SharedSpans, mi
     reach = shared.spans.groupBy("cid").agg(F.min("off").alias("near"), F.max("off").alias("far"))
     parts = shared.rivals.join(reach, "cid").select(*name, F.col("o") - F.col("far"), F.col("o") - F.col("near")).toDF(*name, "from", "to")
     whole = shared.classes.filter(F.col("lo") != F.col("hi")).select(*name, F.lit(0).alias("from"), (F.col("n") - 1).alias("to"))
-    covers = whole.unionByName(parts).groupBy(*name).agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    covers = stage(whole.unionByName(parts).groupBy(*name).agg(F.min("from").alias("from"), F.max("to").alias("to")), "covers")
     cover = salted_join(shared.runs.select(*name, "doc", "at"), covers, name, ["doc"])
     cover = cover.select("doc", (F.col("at") + F.col("from")).alias("begin"), (F.col("at") + F.col("to") + min_chars).alias("end")).distinct()
     # a document's stretches in order: each adds what lies behind all before it

@@ -1,6 +1,7 @@
 """Items that appear together: an external sort of packed pair codes.
 
-Every value gets a 32-bit code, a pair is one 64-bit number. Tasks sort their pairs in
+Every value gets a code, whose lower 31 bits go into pairs of one 64-bit number; the upper
+bits, which are 0 up to 2^31 values, make the pair's tile. Tasks sort their pairs in
 bounded runs and keep only (pair, count); the runs are shuffled by pair, Spark's external
 sort merges them (spilling where memory ends), and equal neighbours are summed. A pair
 that a third of all records hold arrives as one number per run.
@@ -18,7 +19,7 @@ from foliant.plans.skew import bounded_lookup, salted_lookup
 from foliant.plans.stage import stage
 
 RUN_PAIRS = 2_000_000
-MAX_CODES = 1 << 31
+CODE_BITS = 31
 
 
 def assign_codes(counts: DataFrame) -> DataFrame:
@@ -31,15 +32,14 @@ def assign_codes(counts: DataFrame) -> DataFrame:
     for r in sizes:
         starts.append((r.part, total))
         total += r["count"]
-    if total > MAX_CODES:
-        raise ValueError("more than 2^31 different values")
     offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", F.shiftright("_at", 33)).join(offsets, "_part").withColumn("code", (F.col("_start") + local).cast("int")).drop("_at", "_part", "_start")
+    return placed.withColumn("_part", F.shiftright("_at", 33)).join(offsets, "_part").withColumn("code", F.col("_start") + local).drop("_at", "_part", "_start")
 
 
 def pair_runs(baskets: DataFrame) -> DataFrame:
-    """(pair, n): sorted runs of the packed pairs within each row's ``codes`` (distinct ints), counted per run."""
+    """(tile, pair, n): sorted runs of the packed pairs within each row's ``codes`` (distinct longs), counted per run."""
+    mask = (1 << CODE_BITS) - 1
 
     def packed(lists: pa.Array):
         size = lists.value_lengths().to_numpy()
@@ -48,21 +48,25 @@ def pair_runs(baskets: DataFrame) -> DataFrame:
         codes = codes[np.lexsort((codes, row))]
         last = np.repeat(np.cumsum(size), size)
         later = last - np.arange(len(codes)) - 1  # partners of each element
+        upper, lower = codes >> CODE_BITS, codes & mask
         for lo, hi in row_slices(later, RUN_PAIRS):
             n = later[lo:hi]
             first = np.repeat(np.arange(lo, hi), n)
             second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-            yield codes[first] << 32 | codes[second]
+            yield upper[first] << 32 | upper[second], lower[first] << 32 | lower[second]
 
-    def counted(run: list[np.ndarray]) -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(run), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
+    def counted(run: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tile, pair = (np.concatenate(x) for x in zip(*run))
+        order = np.argsort(pair, kind="stable") if not tile.any() else np.lexsort((pair, tile))
+        tile, pair = tile[order], pair[order]
+        at = np.flatnonzero(np.r_[np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (tile[1:] != tile[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(tile[at]), pa.array(pair[at]), pa.array(np.diff(np.r_[at, len(pair)]))], ["tile", "pair", "n"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for pairs in packed(batch.column(0)):
-                held.append(pairs)
+            for tile, pairs in packed(batch.column(0)):
+                held.append((tile, pairs))
                 size += len(pairs)
                 if size >= RUN_PAIRS:
                     yield counted(held)
@@ -70,30 +74,33 @@ def pair_runs(baskets: DataFrame) -> DataFrame:
         if size:
             yield counted(held)
 
-    return baskets.select("codes").mapInArrow(run, "pair long, n long")
+    return baskets.select("codes").mapInArrow(run, "tile long, pair long, n long")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """(pair, n) with each pair once: runs are merged by an external sort, then equal neighbours are summed."""
+    """(tile, pair, n) with each pair once: runs are merged by an external sort, then equal neighbours are summed."""
+
+    def batch_of(tile, pair, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (tile, pair, n)], ["tile", "pair", "n"])
 
     def run(batches):
         left, amount = None, 0
         for batch in batches:
-            pair, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            tile, pair, n = (c.to_numpy() for c in batch.columns)
             if not len(pair):
                 continue
-            at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            pair, n = pair[at], np.add.reduceat(n, at)
-            if left == pair[0]:
+            at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (tile[1:] != tile[:-1])])
+            tile, pair, n = tile[at], pair[at], np.add.reduceat(n, at)
+            if left == (tile[0], pair[0]):
                 n[0] += amount
             elif left is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([left], pa.int64()), pa.array([amount], pa.int64())], ["pair", "n"])
-            left, amount = int(pair[-1]), int(n[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:-1]), pa.array(n[:-1])], ["pair", "n"])
+                yield batch_of([left[0]], [left[1]], [amount])
+            left, amount = (int(tile[-1]), int(pair[-1])), int(n[-1])
+            yield batch_of(tile[:-1], pair[:-1], n[:-1])
         if left is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([left], pa.int64()), pa.array([amount], pa.int64())], ["pair", "n"])
+            yield batch_of([left[0]], [left[1]], [amount])
 
-    return runs.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "pair long, n long")
+    return runs.repartition("tile", "pair").sortWithinPartitions("tile", "pair").mapInArrow(run, "tile long, pair long, n long")
 
 
 def pairs_together(rows: DataFrame, records: int | object, least: int = 1) -> DataFrame:
@@ -112,7 +119,9 @@ def pairs_together(rows: DataFrame, records: int | object, least: int = 1) -> Da
     coded = salted_lookup(rows, codes, ["field", "value"], "held", spread=["record"])
     baskets = coded.groupBy("field", "record").agg(F.collect_list("code").alias("codes")).filter(F.size("codes") > 1)
     pairs = merge_runs(pair_runs(baskets)).filter(F.col("n") >= least)
-    pairs = pairs.select(F.shiftright("pair", 32).cast("int").alias("ca"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("cb"), "n")
+    low = F.lit(0xFFFFFFFF)
+    code = lambda upper, lower: F.shiftleft(upper, CODE_BITS) + lower
+    pairs = pairs.select(code(F.shiftright("tile", 32), F.shiftright("pair", 32)).alias("ca"), code(F.col("tile").bitwiseAND(low), F.col("pair").bitwiseAND(low)).alias("cb"), "n")
     size = codes.count()
     named = bounded_lookup(pairs, codes.select(F.col("code").alias("ca"), "field", F.col("value").alias("a"), F.col("held").alias("n_a")), ["ca"], 64, n=size)
     named = bounded_lookup(named, codes.select(F.col("code").alias("cb"), F.col("value").alias("b"), F.col("held").alias("n_b")), ["cb"], 64, n=size)

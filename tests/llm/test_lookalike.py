@@ -79,3 +79,13 @@ def test_values(spark):
     values = spark.createDataFrame([("1", "ＰＤＦ"), ("1", "ＰＤＦ"), ("2", "PDF"), ("3", "pdf"), ("4", None)], "id string, text string")
     listed = spark.createDataFrame([("PDF",), ("PDF",), (None,)], "value string")
     assert [tuple(r) for r in lookalike.same_look_values(values, listed).collect()] == [("1", "PDF")]
+
+
+def test_classes_count_the_pairs(spark):
+    rows = [("name", "1", "ab"), ("name", "2", "a\u200bb"), ("name", "3", "ab"), ("name", "4", "x"), ("annotation", "4", "\u0430b"), ("annotation", "2", "ab"), ("name", "5", None), ("name", "6", ""), ("name", None, "ab"), ("name", "4", "x")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "field string, id string, text string, links int")
+    got = {(r.field, r.id): (r.class_id, r.links) for r in lookalike.same_look_classes(frame).collect()}
+    assert got == {("name", "1"): ("1", 1), ("name", "2"): ("1", 2), ("name", "3"): ("1", 1), ("name", "4"): ("4", 0), ("annotation", "4"): ("2", 1), ("annotation", "2"): ("2", 1)}
+    pairs = lookalike.same_look_pairs(frame).collect()
+    assert sum(n for _, n in got.values()) == 2 * len(pairs)
+    assert lookalike.same_look_classes(frame.limit(0)).collect() == []
