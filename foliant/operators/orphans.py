@@ -10,6 +10,7 @@ buckets that a batch touches are read and written again; all others stay as they
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans.commit import children, read_pointer, remove, write_pointer
 from foliant.plans.skew import salted_lookup
-from foliant.plans.stage import new_folder, scratch, stage
+from foliant.plans.stage import at_once, new_folder, scratch, stage
 from foliant.sources.tables import array_values, current_items
 
 KEY = ["kind", "ref"]
@@ -62,10 +63,8 @@ class PendingOrphans:
 
     def _touched(self, columns: list[str], *frames: DataFrame) -> list[int]:
         """The buckets of the rows, at most all of them."""
-        found = set()
-        for frame in frames:
-            found.update(r.b for r in frame.select(self._bucket(columns).alias("b")).distinct().collect())
-        return sorted(found)
+        found = reduce(DataFrame.unionByName, [f.select(self._bucket(columns).alias("b")) for f in frames])
+        return sorted(r.b for r in found.distinct().collect())
 
     def _write(self, now: dict, version: int, name: str, rows: DataFrame, buckets: list[int]) -> None:
         """Replace buckets of a table; one that holds a large share of the rows is written by several tasks."""
@@ -94,27 +93,33 @@ class PendingOrphans:
             now = self._pointer()
             version = now["version"] + 1
             before = {name: dict(parts) for name, parts in now["parts"].items()}
-            new = stage(references.filter(F.col("ref").isNotNull() & F.col("src").isNotNull() & F.col("src_key").isNotNull()).distinct(), "new")
-            parents = stage(parents.filter(F.col("ref").isNotNull()).distinct(), "changed")
-            if replaced is None:
-                replaced = new.select(*SOURCE).limit(0)
-            replaced = stage(replaced.filter(F.col("src_key").isNotNull()).distinct(), "replaced")
-            here = self._touched(SOURCE, new, replaced)
-            sources = self._read(now, "sources", here)
-            former = stage(sources.join(replaced, SOURCE, "left_semi"), "former")
-            kept = sources.join(replaced, SOURCE, "left_anti").unionByName(new).distinct()
-            there = self._touched(KEY, new, parents, former)
+            references = references.filter(F.col("ref").isNotNull() & F.col("src").isNotNull() & F.col("src_key").isNotNull())
+            changed = parents.filter(F.col("ref").isNotNull())
+            new, parents = at_once(lambda: stage(references.distinct(), "new"), lambda: stage(changed.distinct(), "changed"))
+            replaced = new.select(*SOURCE).limit(0) if replaced is None else replaced.select(*SOURCE)
             touched = parents.select(*KEY).distinct()
-            each = [*SOURCE, *KEY]
-            index = self._read(now, "parents", there).join(touched, KEY, "left_anti").unionByName(parents)
-            held = self._read(now, "references", there).join(former, each, "left_anti").unionByName(new).distinct()
-            waiting = self._read(now, "pending", there).join(former, each, "left_anti").join(touched, KEY, "left_anti")
-            self._write(now, version, "sources", kept, here)
-            self._write(now, version, "parents", index, there)
-            self._write(now, version, "references", held, there)
-            # new references to parents that didn't change are probed, old ones only where their parent changed
-            old = self._read(now, "references", there).join(touched, KEY, "left_semi")
-            pending = probe(old.unionByName(new).distinct(), self._read(now, "parents", there)).unionByName(waiting).distinct()
+            if now["version"]:
+                here = self._touched(SOURCE, new, replaced)
+                sources = self._read(now, "sources", here)
+                former = stage(sources.join(replaced, SOURCE, "left_semi"), "former")
+                there = self._touched(KEY, new, parents, former)
+                each = [*SOURCE, *KEY]
+                kept = sources.join(replaced, SOURCE, "left_anti").unionByName(new).distinct()
+                index = self._read(now, "parents", there).join(touched, KEY, "left_anti").unionByName(parents)
+                held = self._read(now, "references", there).join(former, each, "left_anti").unionByName(new).distinct()
+                waiting = self._read(now, "pending", there).join(former, each, "left_anti").join(touched, KEY, "left_anti")
+            else:  # nothing is known yet
+                here = there = list(range(self.buckets))
+                kept = held = new
+                index, waiting = parents, None
+            at_once(*(lambda a=a: self._write(now, version, *a) for a in (("sources", kept, here), ("parents", index, there), ("references", held, there))))
+            # new references are probed, old ones only where their parent changed
+            known = self._read(now, "parents", there)
+            if waiting is None:
+                pending = probe(new, known)
+            else:
+                old = self._read(now, "references", there).join(touched, KEY, "left_semi")
+                pending = probe(old.unionByName(new).distinct(), known).unionByName(waiting).distinct()
             self._write(now, version, "pending", pending, there)
             write_pointer(self.spark, f"{self.folder}/CURRENT.json", {"version": version, "buckets": self.buckets, "parts": now["parts"], "before": before})
             self._sweep(now["parts"], before)
@@ -171,7 +176,7 @@ class Batch(NamedTuple):
 
 
 #: so many last years come as batches of their own, all before them as the first
-LAST_YEARS = 3
+LAST_YEARS = 1
 
 
 def library_batches(metadata: DataFrame, docs: DataFrame, documents: DataFrame, folders: DataFrame, years: int = LAST_YEARS) -> Iterator[Batch]:
@@ -198,7 +203,7 @@ def library_batches(metadata: DataFrame, docs: DataFrame, documents: DataFrame,
         rows.write.partitionBy("batch").parquet(path)
         return spark.read.schema(rows.schema).parquet(path)
 
-    items, held = laid(items, "items"), laid(held, "held")
+    items, held = at_once(lambda: laid(items, "items"), lambda: laid(held, "held"))
     lives = folders.filter(F.col("id").isNotNull() & F.col("created_at").isNotNull()).select("id", F.col("created_at").cast("timestamp_ntz").alias("since"), F.col("removed_at").cast("timestamp_ntz").alias("until"))
     for k in range(years + 1):
         versions = items.filter(F.col("batch") == k)

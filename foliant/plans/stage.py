@@ -9,14 +9,19 @@ used twice is computed once. Staged tables are deleted when the program ends, or
 from __future__ import annotations
 
 import atexit
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 import shutil
 import tempfile
+from typing import TypeVar
 import uuid
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _made: list[tuple[SparkSession, str]] = []
 _own: dict[str, str | None] = {}
 
@@ -48,6 +53,12 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def at_once(*actions: Callable[[], T]) -> list[T]:
+    """Run independent Spark actions side by side, so that small ones don't wait for each other; results in order, the first error is raised."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Delete at the end of the block what was staged in it; frames over those tables can't be used afterwards."""

@@ -146,10 +146,12 @@ SEARCHES: dict[str, tuple[str, Filters | None, str, int]] = {
     "search_title_boost": ("2d", None, "relevance", 200),
     "search_sort_mtime": ("reference 2d", None, "mtime", 60),
     "search_sort_name": ("reference", None, "name_binary", 60),
+    "search_sort_name_zh": ("reference", None, "name", 60),
+    "search_decorated": ('reference "index card"', None, "relevance", 20),
     "browse_mtime": ("", None, "relevance", 60),
     "browse_name_filtered": ("type:pdf star:3", None, "name_binary", 60),
     "browse_only_negatives": ("-reference the", None, "mtime", 60),
-    "browse_tag_two_words_quirk": ('tag:"reference 2d"', None, "relevance", 60),
+    "browse_tag_two_words_quirk": ('tag:"reference"', None, "relevance", 60),
 }
 
 
@@ -171,14 +173,11 @@ def _summary(name: str) -> Query:
 SUMMARIES = {"result_metadata_and": "search_and_two_terms", "result_metadata_or": "search_or_fallback_empty_intersection", "result_metadata_phrase": "search_phrase_verified", "result_metadata_browse": "browse_name_filtered"}
 
 
-def search_sort_name_zh(spark, at):
-    hits = search(library_index(spark, at), "reference", None, "name", 60, snippets=False).hits
-    return hits.select("rank", "idx", "name")
-
-
 def search_decorated(spark, at):
-    hits = search(library_index(spark, at), 'reference "index card"', None, "relevance", 20).hits
-    return hits.select("rank", "idx", "name", "fields", "group", "name_ranges", "snip", F.round("score", 6).alias("score"))
+    """Labels, match ranges and snippets of the hits that are shown."""
+    hits = search(library_index(spark, at), *SEARCHES["search_decorated"]).hits
+    shown = hits.select("rank", "idx", F.concat_ws(",", "fields").alias("fields"), "group", F.size("name_ranges").alias("n_name_ranges"), "snip.text", F.size("snip.ranges").alias("n_ranges"), F.round("score", 6).alias("score"))
+    return shown.withColumn("n_ranges", F.when(F.col("text").isNotNull(), F.col("n_ranges")))
 
 
 def hit_field_labels(spark, at):
@@ -312,11 +311,11 @@ def incr_equals_full(spark, at):
 def queries() -> dict[str, Query]:
     plain = [
         tokenize_documents_tf, tokenize_documents_lower_tf, tokenize_values, postings_multifield, postings_full_text, doc_frequency, idf_table, corpus_size,
-        search_sort_name_zh, search_decorated, hit_field_labels, snippet_documents, highlight_names, markup_stripped, markup_clean_text, escape_html,
+        search_decorated, hit_field_labels, snippet_documents, highlight_names, markup_stripped, markup_clean_text, escape_html,
         format_bytes, format_time, group_of_ext, index_stats, stats_by_group, stats_by_method, facet_tags_top18, facet_folders_top14, coverage_overview,
         warnings_grouped, incr_changed, incr_deleted, incr_postings_survivors, incr_equals_full,
     ]
-    return {f.__name__: f for f in plain} | {name: _search(name) for name in SEARCHES} | {name: _summary(of) for name, of in SUMMARIES.items()}
+    return {f.__name__: f for f in plain} | {name: _search(name) for name in SEARCHES if name != "search_decorated"} | {name: _summary(of) for name, of in SUMMARIES.items()}
 
 
 # ---------------------------------------------------------------- SQL
@@ -390,14 +389,16 @@ ASKED = {
     "search_title_boost": Asked(("2d",), flat="2d"),
     "search_sort_mtime": Asked(("reference", "2d"), flat="reference 2d"),
     "search_sort_name": Asked(("reference",), flat="reference"),
+    "search_sort_name_zh": Asked(("reference",), flat="reference"),
+    "search_decorated": Asked(("index", "card", "reference"), ("index card",), flat='reference "index card"'),
     "browse_mtime": Asked(),
     "browse_name_filtered": Asked(where="ext = 'pdf' AND star >= 3"),
     "browse_only_negatives": Asked(without=("reference",)),
-    "browse_tag_two_words_quirk": Asked(("reference", "2d", "tag"), flat='tag:"reference 2d"'),
+    "browse_tag_two_words_quirk": Asked(("reference", "tag"), ("reference",), flat='tag:"reference"'),
 }
 
 
-_ORDERS = {"relevance": "score DESC, base DESC, mtime DESC, idx", "mtime": "mtime DESC, idx", "name_binary": "name, idx"}
+_ORDERS = {"relevance": "score DESC, base DESC, mtime DESC, idx", "mtime": "mtime DESC, idx", "name_binary": "name, idx", "name": "name COLLATE zh, idx"}
 
 
 def _search_ctes(name: str) -> str:
@@ -549,4 +550,8 @@ SELECT item.id, item.name, coalesce(ext, '') AS ext, coalesce(mtime, 0) AS mtime
 SELECT term, idx, bit_or(mask) AS mask, max(tf) AS tf FROM postings WHERE idx NOT IN (SELECT idx FROM gone) GROUP BY term, idx""",
     }
     shown = "SELECT rank, idx, id, name, round(score, 6) AS score, mask, matched, partial FROM final"
-    return sql | {name: f"{_search_ctes(name)} {shown}" for name in SEARCHES} | {name: _summary_sql(of) for name, of in SUMMARIES.items()}
+    labelled = ", ".join(f"CASE WHEN mask & {b} <> 0 THEN {_quoted([x])} END" for b, x in labels.items())
+    sql["search_decorated"] = f"""{_search_ctes("search_decorated")},
+bodies AS (SELECT final.idx, CASE WHEN coalesce(content, '') <> '' THEN content ELSE annotation END AS body FROM final LEFT JOIN lib_texts ON final.idx = lib_texts.idx), {_snippet_sql("bodies", "idx", "body", ("index card", "reference"))}
+SELECT rank, idx, concat_ws(',', {labelled}) AS fields, {_GROUP} AS "group", len(regexp_extract_all(name, '(?i)(?:index card|reference)+'))::INTEGER AS n_name_ranges, s.text, n_ranges, round(score, 6) AS score FROM final LEFT JOIN snippets s ON idx = k"""
+    return sql | {name: f"{_search_ctes(name)} {shown}" for name in SEARCHES if name != "search_decorated"} | {name: _summary_sql(of) for name, of in SUMMARIES.items()}

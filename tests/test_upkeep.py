@@ -166,7 +166,7 @@ def test_library_batches_in_order(spark, folder):
         spark.createDataFrame(folders, "id string, created_at timestamp_ntz, removed_at timestamp_ntz"),
     )
     state, seen = PendingOrphans(spark, folder, 3), []
-    for batch in library_batches(*frames):
+    for batch in library_batches(*frames, years=3):
         seen.append(sorted((r.src, r.src_key, r.ref) for r in state.apply(*batch).collect()))
     ever = [("docs", "5", "z"), ("metadata", "n", "f")]
     assert seen == [
