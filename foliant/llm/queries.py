@@ -124,13 +124,22 @@ def p7_ids(spark: SparkSession, at: str) -> DataFrame:
     return bpe.encode_corpus(_texts(spark, at), "doc_id", "text")
 
 
-def p8_leaks(spark: SparkSession, at: str) -> DataFrame:
-    """Every document that holds an eval item nearly whole, or twenty or more of its consecutive letters and digits: how much of it, and within how many edits."""
+def _leaks(spark: SparkSession, at: str) -> DataFrame:
     return leak.find_leaks(_texts(spark, at), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text")
 
 
+def p8_leaks(spark: SparkSession, at: str) -> DataFrame:
+    """Every document that holds twenty or more consecutive letters and digits of an eval item, with how many of the item's it holds."""
+    return _leaks(spark, at).filter(F.col("covered") > 0).select("doc_id", "item_id", "covered", "item_chars")
+
+
+def p8_whole(spark: SparkSession, at: str) -> DataFrame:
+    """Every document that holds an eval item nearly whole, and within how many edits."""
+    return _leaks(spark, at).filter(F.col("edits").isNotNull()).select("doc_id", "item_id", "edits", "item_chars")
+
+
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
-    return leak.leaked(p8_leaks(spark, at)).select("doc_id", "item_id").distinct()
+    return leak.leaked(_leaks(spark, at)).select("doc_id", "item_id").distinct()
 
 
 def p9_found(spark: SparkSession, at: str) -> DataFrame:
@@ -144,7 +153,7 @@ def p9_shared(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_frequency, p2_found, p2_scores, p5_found, p5_pairs, p6_found, p6_classes, p6_forms, p7_ids, p8_found, p8_leaks, p9_found, p9_shared]
+    found = [p1_found, p1_frequency, p2_found, p2_scores, p5_found, p5_pairs, p6_found, p6_classes, p6_forms, p7_ids, p8_found, p8_leaks, p8_whole, p9_found, p9_shared]
     return {f.__name__: f for f in found}
 
 
@@ -200,6 +209,7 @@ shared AS (SELECT wins.* FROM wins JOIN several USING (h))"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM covered WHERE covered * 2 >= length(t)",
+        "p8_leaks": f"{_LEAKS} SELECT doc_id, item_id, covered::BIGINT AS covered, length(t) AS item_chars FROM covered",
         "p9_found": f"""{_SPANS}, holders AS (SELECT DISTINCT h, doc_id FROM shared)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM holders a JOIN holders b ON a.h = b.h AND a.doc_id < b.doc_id""",
         "p9_shared": f"""{_SPANS}, parts AS (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(320, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 320)) AS step FROM shared) GROUP BY doc_id),
