@@ -83,7 +83,7 @@ def numeric_entities(column: Column) -> Column:
 
     def char(number: Column) -> Column:
         valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        code = F.when(valid, number.cast("long")).otherwise(F.lit(63).cast("long"))
+        code = F.when(valid, number).otherwise(F.lit(63))
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
 
     def decoded(text: Column, pattern: str, number) -> Column:
@@ -91,10 +91,13 @@ def numeric_entities(column: Column) -> Column:
         mark = lambda e: F.struct((number(e) == 38).alias("last"), e.alias("e"), char(number(e)).alias("c"))
         return F.aggregate(F.array_sort(F.transform(found, mark)), text, lambda acc, m: F.replace(acc, m["e"], m["c"]))
 
-    digits = lambda e, skip: F.substring(e, skip, F.length(e) - skip)
-    exact = "decimal(38,0)"
-    column = decoded(column, "&#x[0-9a-fA-F]+;", lambda e: F.conv(digits(e, 4), 16, 10).cast(exact))
-    return decoded(column, "&#[0-9]+;", lambda e: F.coalesce(F.try_to_number(digits(e, 3), F.lit("9" * 38)), F.lit(-1)).cast(exact))
+    def value(e: Column, skip: int, base: int) -> Column:
+        """The number of an entity, -1 where it has more digits than any character's."""
+        digits = F.regexp_replace(F.substring(e, skip, F.length(e) - skip), "^0+", "")
+        return F.when(F.length(digits) > 7, F.lit(-1)).otherwise(F.conv(F.concat(F.lit("0"), F.substring(digits, 1, 7)), base, 10)).cast("long")
+
+    column = decoded(column, "&#x[0-9a-fA-F]+;", lambda e: value(e, 4, 16))
+    return decoded(column, "&#[0-9]+;", lambda e: value(e, 3, 10))
 
 
 def strip_markup(column: Column | str) -> Column:

@@ -55,8 +55,9 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
 
 def at_once(*actions: Callable[[], T]) -> list[T]:
     """Run independent Spark actions side by side, so that small ones don't wait for each other; results in order, the first error is raised."""
+    inherit = inheritable_thread_target(SparkSession.builder.getOrCreate())
     with ThreadPoolExecutor(len(actions)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
+        return [f.result() for f in [pool.submit(inherit(a)) for a in actions]]
 
 
 @contextmanager

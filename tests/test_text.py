@@ -139,3 +139,24 @@ def test_snippet_columns(spark):
     html = one(spark, fn.highlight_html("x", ranges_of(F.col("x"), ["hit", "<"]), "m"), "a<hit>b", "none", "", None)
     assert html == [fn.highlight("a<hit>b", [(1, 5)], "m"), "none", "", ""] and html[0] == 'a<mark class="m">&lt;hit</mark>&gt;b'
     assert fn.highlight("abcd", [(0, 2), (1, 3)], "") == '<mark class="">ab</mark>cd'
+
+
+def test_numeric_entities_equal_twin(spark):
+    samples = ["&#65;&#x42;&#X43;", "&#38;#66; &#x26;#67;", "&#0;&#xD800;&#x110000;&#1114111;", "&#99999999999999999999999999999999999999999999;&#xFFFFFFFFFFFFFFFFFFFFFFFF;", "&#128512;&#x1F600;", "&#65", "&#38;&#38;lt;", None, "", "no entity", "&#65;&#65;&#066;"]
+    got = one(spark, fn.numeric_entities(F.col("x")), *samples)
+    assert got == [None if s is None else fn._numeric(s) for s in samples]
+
+
+def test_staged_tables_go_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    from foliant.plans import stage
+
+    outer = stage.stage(spark.range(3), "kept")
+    with stage.scratch():
+        a, b = stage.at_once(lambda: stage.stage(spark.range(2), "a"), lambda: stage.stage(spark.range(4), "b"))
+        assert (a.count(), b.count()) == (2, 4)
+        paths = [Path(f.removeprefix("file://")).parent for f in a.inputFiles() + b.inputFiles()]
+    assert not any(p.exists() for p in paths) and outer.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        stage.at_once(lambda: 1, lambda: 1 / 0)
