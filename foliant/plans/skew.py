@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 1000
 #: No key with fewer rows is heavy: a task handles so many at once.
 LEAST_HEAVY = 10_000
+#: Share of the rows that is counted where no count is at hand; which keys count as heavy changes the plan, never the result.
+SAMPLE = 1 / 16
 #: A lookup side is broadcast up to this many bytes (rows counted, times their width).
 BROADCAST_BYTES = 8 << 20
 
@@ -22,10 +24,10 @@ def heavy_keys(counts: DataFrame, weight: str, share: float = HEAVY_SHARE) -> Da
     return counts.filter(F.col(weight) >= F.greatest(F.lit(1.0), total * F.lit(share)))
 
 
-def _heavy(counts: DataFrame, on: list[str], weight: str) -> DataFrame | None:
+def _heavy(counts: DataFrame, on: list[str], weight: str, least: float = 0) -> DataFrame | None:
     """The heavy keys as a flag to be broadcast, None if there are none: one row with the total and the greatest weight decides."""
     total, most = counts.agg(F.sum(weight), F.max(weight)).first()
-    limit = max(LEAST_HEAVY, (total or 0) * HEAVY_SHARE)
+    limit = max(least or LEAST_HEAVY, (total or 0) * HEAVY_SHARE)
     if not most or most < limit:
         return None
     return F.broadcast(counts.filter(F.col(weight) >= limit).select(*on, F.lit(True).alias("_heavy")))
@@ -43,13 +45,13 @@ def _salted(left: DataFrame, right: DataFrame, on: list[str], flags: DataFrame,
 def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str | None = None, salts: int = 64, spread: list[str] | None = None, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) to the unique-keyed ``lookup``; heavy keys are spread over ``salts`` partitions.
 
-    Keys are heavy by ``lookup``'s row count column ``weight``, or by counting ``rows``
-    where there is none; they hold at least 1/1000 of all rows, so at most 1000 are
+    Keys are heavy by ``lookup``'s row count column ``weight``, or by counting a sample of
+    ``rows`` where there is none; they hold at least 1/1000 of all rows, so at most 1000 are
     broadcast as a flag. Their rows on the left get a salt from ``spread`` (or all columns),
     and their single row on the right is repeated once per salt. Null keys match nothing.
     """
-    counts = lookup.select(*on, F.col(weight).alias("_n")) if weight else rows.groupBy(*on).agg(F.count("*").alias("_n"))
-    flags = _heavy(counts, on, "_n")
+    counts = lookup.select(*on, F.col(weight).alias("_n")) if weight else rows.sample(SAMPLE, seed=1).groupBy(*on).agg(F.count("*").alias("_n"))
+    flags = _heavy(counts, on, "_n", 0 if weight else LEAST_HEAVY * SAMPLE)
     return rows.join(lookup, on, how) if flags is None else _salted(rows, lookup, on, flags, spread or rows.columns, salts, how)
 
 
