@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.textbuf import byte_view, code_points, row_slices
 from foliant.plans.skew import bounded_lookup, salted_join, salted_lookup
-from foliant.plans.stage import stage
+from foliant.plans.stage import at_once, stage
 
 SLICE_CHARS = 400_000
 #: bits of a position within a piece, which is at most four slices and an overlap long
@@ -218,9 +218,18 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
         raise ValueError("min_chars must be even")
     docs = _identified(texts, key, text, min_chars)
     runs = stage(_runs(docs, min_chars), "runs")
+    copies, shared = at_once(lambda: _copies(runs), lambda: _levels(docs, runs, min_chars))
+    return SharedSpans(*shared, copies)
+
+
+def _copies(runs: DataFrame) -> DataFrame:
+    """(rep, doc) of the texts that several documents hold, whole."""
     several = runs.filter("head").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count("*").alias("weight")).filter(F.col("rep") != F.col("last"))
-    copies = stage(salted_lookup(runs.filter("head").select("doc", "c1", "c2"), stage(several.drop("last"), "several"), ["c1", "c2"], "weight", spread=["doc"]).select("rep", "doc").distinct(), "copies")
+    return stage(salted_lookup(runs.filter("head").select("doc", "c1", "c2"), stage(several.drop("last"), "several"), ["c1", "c2"], "weight", spread=["doc"]).select("rep", "doc").distinct(), "copies")
 
+
+def _levels(docs: DataFrame, runs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(runs, classes, rivals, spans) as ``SharedSpans`` has them."""
     # level one: anchors that different texts hold
     repeated = (
         runs.groupBy("h")
@@ -247,7 +256,7 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
     where = ["h", "off", "w"]
     shared = spans.groupBy(*where).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("cid").alias("rep"), F.max("cid").alias("_last"), F.count("*").alias("weight")).filter((F.col("_lo") != F.col("_hi")) & (F.col("rep") != F.col("_last")))
     met = stage(salted_lookup(spans.drop("lo", "hi"), stage(shared.drop("_lo", "_hi", "_last"), "shared"), where, "weight", spread=["cid"]).drop("weight"), "met")
-    return SharedSpans(alive, classes, rivals, _verified(met, rivals, min_chars), copies)
+    return alive, classes, rivals, _verified(met, rivals, min_chars)
 
 
 def _verified(met: DataFrame, rivals: DataFrame, min_chars: int) -> DataFrame:
@@ -293,9 +302,11 @@ def span_pairs(shared: SharedSpans) -> DataFrame:
     """
     name = ["h", "d1", "d2"]
     many = shared.classes.filter(F.col("lo") != F.col("hi")).select(*name)
-    alike = fork_pairs(salted_join(shared.runs, many, name, ["doc"]), name, "doc", F.col("prev"))
-    rivals = fork_pairs(shared.spans, ["h", "off", "w"], "cid", F.col("prev"))
-    members = stage(salted_join(shared.runs.select(*name, "doc"), shared.rivals.select(*name, "cid"), name, ["doc"]).select("cid", "doc").distinct(), "class members")
+    alike, rivals, members = at_once(
+        lambda: fork_pairs(salted_join(shared.runs, many, name, ["doc"]), name, "doc", F.col("prev")),
+        lambda: fork_pairs(shared.spans, ["h", "off", "w"], "cid", F.col("prev")),
+        lambda: stage(salted_join(shared.runs.select(*name, "doc"), shared.rivals.select(*name, "cid"), name, ["doc"]).select("cid", "doc").distinct(), "class members"),
+    )
     wide = salted_join(rivals.withColumnRenamed("a", "cid"), members, ["cid"], ["b"]).select(F.col("doc").alias("a"), F.col("b").alias("cid"))
     wide = salted_join(wide.distinct(), members, ["cid"], ["a"]).select("a", F.col("doc").alias("b")).filter(F.col("a") != F.col("b"))
     pairs = alike.unionByName(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
