@@ -209,7 +209,8 @@ def shared_spans(texts: DataFrame, key: str, text: str, min_chars: int = 320) ->
 
     Exact copies are collapsed first: only the document with the smallest key of each text
     takes part, and ``copies`` lists the rest. Null texts, null keys and texts shorter than
-    ``min_chars`` take no part. A row stored again counts once. Anchors and spans are found by
+    ``min_chars`` take no part. A row stored again counts once. A key should have one text: of a
+    key with several, what holds for one of them holds for the key and for that text's copies. Anchors and spans are found by
     64-bit hashes; runs of one class have the same 128-bit BLAKE2 digest, and what classes
     share is compared as text before it counts. Anchors and spans that a third of all
     documents hold are aggregated in parts and joined with salted keys.
@@ -238,19 +239,20 @@ def _levels(docs: DataFrame, runs: DataFrame, min_chars: int) -> tuple[DataFrame
         .select("h", "weight")
     )
     alive = salted_lookup(runs.drop("head"), stage(repeated, "anchors"), ["h"], "weight", spread=["c1", "at"]).drop("weight")
-    alive = stage(alive.groupBy("c1", "c2", "at", "n", "o", "h", "d1", "d2", "prev").agg(F.min("doc").alias("doc")).drop("c1", "c2"), "alive")
+    alive = stage(alive.groupBy("c1", "c2", "at", "n", "o", "h", "d1", "d2", "prev").agg(F.min("doc").alias("doc")), "alive")
 
     # level two: whole runs, and single spans where an anchor has rival runs
-    classes = stage(alive.groupBy("h", "d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("n").alias("n"), F.min("o").alias("o"), F.min(F.struct("doc", "at")).alias("first")), "classes")
+    classes = stage(alive.groupBy("h", "d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("n").alias("n"), F.min("o").alias("o"), F.min(F.struct("doc", "at", "c1", "c2")).alias("first")), "classes")
     rival = classes.groupBy("h").agg(F.count("*").alias("weight")).filter(F.col("weight") > 1)
     rivals = salted_lookup(classes, stage(rival, "rival"), ["h"], "weight", spread=["d1"]).drop("weight")
-    wanted = rivals.select(F.col("first.doc").alias("doc"), F.struct("h", "d1", "d2", "lo", "hi", "n", "o", F.col("first.at").alias("at")).alias("run"))
+    wanted = rivals.select("first.doc", "first.c1", "first.c2", F.struct("h", "d1", "d2", "lo", "hi", "n", "o", F.col("first.at").alias("at")).alias("run"))
     size = classes.count()  # there are at most as many rivals
-    wanted = wanted.groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    text = ["doc", "c1", "c2"]  # a key may have several texts
+    wanted = wanted.groupBy(*text).agg(F.collect_list("run").alias("runs"))
     cut = lambda r: F.substring(F.col("text"), r["at"].cast("int") + 1, r["n"] + (min_chars - 1))
-    held = bounded_lookup(docs.select("doc", "text"), wanted, ["doc"], 72, n=size)
+    held = bounded_lookup(docs, wanted, text, 88, n=size)
     held = held.select(F.explode(F.transform("runs", lambda r: F.struct(*[r[c].alias(c) for c in ("h", "d1", "d2", "lo", "hi", "n", "o")], cut(r).alias("run")))).alias("r")).select("r.*")
-    # a document stored twice, whole or under one key with other texts, would give its runs twice
+    # a row stored again would give its runs twice
     rivals = stage(held.groupBy("h", "d1", "d2").agg(F.min(F.struct("lo", "hi", "n", "o", "run")).alias("r")).select("h", "d1", "d2", "r.*").withColumn("cid", F.monotonically_increasing_id()), "rivals")
     spans = stage(_spans(rivals, min_chars), "spans")
     where = ["h", "off", "w"]

