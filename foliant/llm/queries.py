@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe, distinct, frequency, leak, lookalike, spans, together
 from foliant.plans.skew import spread
-from foliant.plans.stage import stage
+from foliant.plans.stage import at_once, stage
 from foliant.sources.tables import array_values, current_items, live_items, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,8 @@ def p1_frequency(spark: SparkSession, at: str) -> DataFrame:
     terms = postings.select(F.lit("terms").alias("field"), "term", F.col("idx").alias("record"), F.col("tf").alias("n"))
     tags = live.select("id", F.explode(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("term"))
     tags = tags.groupBy("id", "term").agg(F.count("*").alias("n")).select(F.lit("tags").alias("field"), "term", F.col("id").alias("record"), "n")
-    found, records = frequency.frequencies_and_records(terms)
-    counts = found.unionByName(frequency.term_frequencies(tags, unique=True))
+    (found, records), tagged = at_once(lambda: frequency.frequencies_and_records(terms), lambda: frequency.term_frequencies(tags, unique=True))
+    counts = found.unionByName(tagged)
     sizes = records.select(F.lit("terms").alias("field"), "size").unionByName(live.agg(F.count("*").alias("size")).select(F.lit("tags").alias("field"), "size"))
     return frequency.mark_useless(counts, sizes)
 
@@ -93,11 +93,10 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
 def p6_found(spark: SparkSession, at: str) -> DataFrame:
     items = stage(current_items(table(spark, at, "metadata"), "name", "annotation", "tags"), "items")
     texts = [items.select(F.lit(c).alias("field"), "id", F.col(c).alias("text")) for c in ("name", "annotation")]
-    pairs = lookalike.same_look_pairs(texts[0].unionByName(texts[1]))
     tags = items.select("id", F.explode(array_values("tags")).alias("text"))
     known = table(spark, at, "tag_groups").select(F.col("tag").alias("value"))
-    near = lookalike.same_look_values(tags, known).select(F.lit("tags").alias("field"), F.col("id").alias("a"), F.col("value").alias("b"))
-    return pairs.unionByName(near)
+    pairs, near = at_once(lambda: lookalike.same_look_pairs(texts[0].unionByName(texts[1])), lambda: lookalike.same_look_values(tags, known))
+    return pairs.unionByName(near.select(F.lit("tags").alias("field"), F.col("id").alias("a"), F.col("value").alias("b")))
 
 
 def p6_classes(spark: SparkSession, at: str) -> DataFrame:

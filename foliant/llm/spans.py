@@ -311,7 +311,7 @@ def span_pairs(shared: SharedSpans) -> DataFrame:
     )
     wide = salted_join(rivals.withColumnRenamed("a", "cid"), members, ["cid"], ["b"]).select(F.col("doc").alias("a"), F.col("b").alias("cid"))
     wide = salted_join(wide.distinct(), members, ["cid"], ["a"]).select("a", F.col("doc").alias("b")).filter(F.col("a") != F.col("b"))
-    pairs = alike.unionByName(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = stage(alike.unionByName(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
     return with_copies(pairs, shared.copies).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
 
